@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 # lower-case, strip digits, strip punctuation, collapse whitespace.
 DIGITS = r"\p{N}+"
 PUNCTUATION = r"[\p{P}\p{S}]+"
-WHITESPACE = r"\s+"
+WHITESPACE = r"[\t\n\x0B\f\r ]+"
 # Shortest term kept by the document-term matrix builder (word lengths 3..inf).
 MIN_TERM_LENGTH = 3
 
@@ -33,4 +33,4 @@ def split_terms(col: Column | str) -> Column:
 def normalise_text_sql(x: str) -> str:
     """The same normalisation as DuckDB SQL (RE2 has the same classes)."""
     return (f"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), "
-            f"'\\p{{N}}+', '', 'g'), '[\\p{{P}}\\p{{S}}]+', '', 'g'), '\\s+', ' ', 'g'))")
+            f"'\\p{{N}}+', '', 'g'), '[\\p{{P}}\\p{{S}}]+', '', 'g'), '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g'))")

@@ -109,25 +109,46 @@ def check_beta(beta: np.ndarray, K: int, V: int, tol: float = 1e-12) -> np.ndarr
     return b
 
 
+def _label_map(df: DataFrame, col: str, max_labels: int):
+    """Distinct labels of ``col`` ranked 1.. in ascending order, as a map
+    Column.  The label count is checked first, so only a bounded list is
+    ever collected."""
+    labels = df.select(col).filter(F.col(col).isNotNull()).distinct()
+    n = labels.count()
+    if n > max_labels:
+        raise ValueError(f"{n} distinct labels in {col!r}; at most {max_labels} allowed")
+    order = sorted(r[0] for r in labels.collect())
+    return F.create_map(*[x for i, lab in enumerate(order) for x in (F.lit(lab), F.lit(i + 1))]), n
+
+
+def assign_from_labels(df: DataFrame, label_col: str, id_col: str = "doc_id",
+                       max_labels: int = 100_000) -> DataFrame:
+    """A partition ``(doc_id, cluster)`` from a label column; labels ranked 1..G."""
+    m, _ = _label_map(df, label_col, max_labels)
+    return (df.filter(F.col(label_col).isNotNull())
+            .select(F.col(id_col).alias("doc_id"), m[F.col(label_col)].cast("int").alias("cluster")))
+
+
 def beta_from_groups(dtm: DataFrame, groups: DataFrame, group_col: str,
-                     vocab: DataFrame | None = None, smoothing: float = 0.0,
-                     V: int | None = None) -> DataFrame:
+                     vocab: DataFrame, V: int | None = None, smoothing: float = 0.0,
+                     max_groups: int = 100_000):
     """Topics from labelled rows.  Rows with the same label are summed and
-    each label's counts are normalised: ``(topic, term_id, p)``; topics are the
-    labels ranked 1..K in ascending order.  With ``smoothing > 0`` every
-    vocabulary term gets ``(cnt + s) / (total + s V)`` so no probability is 0."""
-    g = groups.select("doc_id", F.col(group_col).alias("_g")).filter(F.col("_g").isNotNull())
-    labels = sorted(r[0] for r in g.select("_g").distinct().collect())  # K labels
-    mapping = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i + 1))])
-    a = g.select("doc_id", mapping[F.col("_g")].cast("int").alias("topic"))
+    each label's counts are normalised; topics are the labels ranked 1..K in
+    ascending order.  With ``smoothing > 0`` every vocabulary term gets
+    ``(cnt + s) / (total + s V)`` so no probability is 0.  Returns Topics."""
+    from .topics import Topics
+
+    V = vocab.count() if V is None else V
+    m, K = _label_map(groups, group_col, max_groups)
+    a = (groups.filter(F.col(group_col).isNotNull())
+         .select("doc_id", m[F.col(group_col)].cast("int").alias("topic")))
     counts = (dtm.join(a, "doc_id").groupBy("topic", "term_id")
               .agg(F.sum("cnt").cast("double").alias("cnt")))
     if smoothing <= 0:
-        return row_normalise(counts, "topic", "cnt", "p").select("topic", "term_id", "p")
-    if vocab is None or V is None:
-        raise ValueError("smoothing needs the vocabulary and V")
-    K = len(labels)
+        df = row_normalise(counts, "topic", "cnt", "p").select("topic", "term_id", "p")
+        return Topics.from_df(df, K, V)
     cells = vocab.select("term_id", F.explode(F.sequence(F.lit(1), F.lit(K))).alias("topic"))
     full = cells.join(counts, ["topic", "term_id"], "left").select(
         "topic", "term_id", (F.coalesce("cnt", F.lit(0.0)) + F.lit(float(smoothing))).alias("w"))
-    return row_normalise(full, "topic", "w", "p").select("topic", "term_id", "p")
+    df = row_normalise(full, "topic", "w", "p").select("topic", "term_id", "p")
+    return Topics.from_df(df, K, V)
