@@ -120,7 +120,20 @@ def ve_sparse(seg, terms, cnts, n_seg, beta, alpha, max_iter=100, tol=1e-9,
     return out_gamma, out_elbo, out_iter, (uniq, ss)
 
 
-def ve_dense(counts, beta, alpha, max_iter=100, tol=1e-9):
+def warm_start(gamma_ref, n_ref, n_new, alpha):
+    """Start for a count vector close to a solved one: the solved gamma's
+    excess over alpha rescaled to the new total (rows of arrays)."""
+    gamma_ref = np.asarray(gamma_ref, dtype=np.float64)
+    scale = np.where(np.asarray(n_ref) > 0, np.asarray(n_new) / np.maximum(n_ref, 1e-300), 0.0)
+    K = gamma_ref.shape[-1]
+    start = alpha + (gamma_ref - alpha) * scale[..., None]
+    empty_ref = np.asarray(n_ref) <= 0
+    if np.any(empty_ref):
+        start[empty_ref] = alpha + (np.asarray(n_new)[empty_ref] / K)[..., None]
+    return start
+
+
+def ve_dense(counts, beta, alpha, max_iter=100, tol=1e-9, gamma0=None):
     """VE-step for a small batch of dense count rows ``counts (C, V)``.
 
     Used for greedy candidates (a meta-document plus or minus one document):
@@ -136,7 +149,10 @@ def ve_dense(counts, beta, alpha, max_iter=100, tol=1e-9):
     C = X.shape[0]
     mask = X > 0
     tot = X.sum(1)
-    gamma = alpha + np.repeat((tot / K)[:, None], K, axis=1)
+    if gamma0 is None:
+        gamma = alpha + np.repeat((tot / K)[:, None], K, axis=1)
+    else:
+        gamma = np.array(gamma0, dtype=np.float64, copy=True)
     out_gamma = np.empty((C, K))
     out_elbo = np.empty(C)
     ids = np.arange(C)

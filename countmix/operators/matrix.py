@@ -202,6 +202,9 @@ def build_count_matrix(docs: DataFrame, term_dtm: DataFrame, min_docs: int = 1,
                        persist: bool = True) -> CountMatrix:
     """From ``docs(doc_id)`` and string triplets ``(doc_id, term, cnt)``:
     vocabulary of terms in >= ``min_docs`` documents, indexed triplets, N, V."""
+    from pyspark import StorageLevel
+
+    term_dtm = term_dtm.persist(StorageLevel.MEMORY_AND_DISK)   # tokenise once
     vocab = drop_empty_terms(term_dtm, term_dtm.select("term").distinct(), min_docs)
     vocab = checkpoint(vocab) if persist else vocab
     V = vocab.count()
@@ -209,5 +212,6 @@ def build_count_matrix(docs: DataFrame, term_dtm: DataFrame, min_docs: int = 1,
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
     if persist:
         d, dtm = checkpoint(d), checkpoint(dtm)
+        term_dtm.unpersist()
     N = d.count()
     return CountMatrix(d, vocab, dtm, N, V)

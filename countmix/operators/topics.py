@@ -238,7 +238,8 @@ def _random_beta(K, V, seed, start):
 
 def fit_lda(rows: DataFrame, V: int, K: int, alpha: float = 1.0, nstart: int = 1,
             em_max_iter: int = 100, em_tol: float = 1e-4, var_max_iter: int = 20,
-            var_tol: float = 1e-6, seed: int = 0, beta0: np.ndarray | None = None) -> LdaResult:
+            var_tol: float = 1e-6, seed: int = 0, beta0: np.ndarray | None = None,
+            return_all: bool = False):
     """LDA by variational EM, alpha fixed, beta estimated, ``nstart`` restarts.
 
     All restarts share one scan per EM iteration: the E-step ``mapInPandas``
@@ -247,10 +248,12 @@ def fit_lda(rows: DataFrame, V: int, K: int, alpha: float = 1.0, nstart: int = 1
     ``groupBy(start, topic, term_id).sum`` finishes them.  The K x V M-step is
     a row normalisation.  The best start by final bound is kept.
     """
-    if K * V * 8 * max(nstart, 1) > LIMITS.max_broadcast_bytes:
+    if K * V * 8 * max(nstart, 1) > LIMITS.max_broadcast_bytes:  # all starts' betas
         raise MemoryError("nstart x K x V exceeds the broadcast bound; prune the vocabulary")
     spark = rows.sparkSession
     ship(spark)
+    from pyspark import StorageLevel
+    rows = rows.select("terms", "cnts").persist(StorageLevel.MEMORY_AND_DISK)  # every EM iteration rescans
     if beta0 is not None:
         betas = {0: np.asarray(beta0, dtype=float)}
     else:
@@ -310,6 +313,9 @@ def fit_lda(rows: DataFrame, V: int, K: int, alpha: float = 1.0, nstart: int = 1
                 betas[s] = m / tot
                 ll_prev[s] = ll
         it += 1
+    rows.unpersist()
+    if return_all:
+        return {s: (mat, ll) for s, (mat, ll) in final.items()}
     best = max(sorted(final), key=lambda s: final[s][1])
     mat, ll = final[best]
     return LdaResult(Topics.from_matrix(spark, mat), ll, trace[best], best)

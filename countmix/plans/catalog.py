@@ -32,7 +32,8 @@ STOP_SHARE = 0.5        # stop list: terms in at least half of the documents
 FIT_Q, FIT_K = 6, 4
 FIT_CONTROLS = Controls(init=VemControl(em_max_iter=20, var_max_iter=50, var_tol=1e-6),
                         loop=VemControl(alpha=1.0, estimate_beta=False, var_max_iter=1000,
-                                        var_tol=1e-9))
+                                        var_tol=1e-9),
+                        beta_starts=2)
 
 
 # ------------------------------------------------------------ shared parts ---
