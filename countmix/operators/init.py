@@ -41,6 +41,35 @@ def init_random(docs: DataFrame, Q: int, seed: int = 0, n_docs: int | None = Non
     raise RuntimeError("could not draw a partition using every cluster")
 
 
+def init_random_runs(docs: DataFrame, runs: dict, n_docs: int | None = None,
+                     max_attempts: int = 1000) -> DataFrame:
+    """C1 for many restarts in one pass: ``runs = {run: (Q, seed)}`` gives
+    ``(run, doc_id, cluster)``; run r equals ``init_random(docs, Q_r, seed_r)``.
+    Each document row is repeated once per run with ``explode`` (no join);
+    only runs that miss a cluster are redrawn."""
+    n = docs.count() if n_docs is None else n_docs
+    for r, (Q, _) in runs.items():
+        if n < Q:
+            raise ValueError(f"cannot split {n} documents into {Q} non-empty clusters")
+    attempt = {r: 0 for r in runs}
+    for _ in range(max_attempts):
+        spec = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(Q).alias("q"),
+                                  F.lit(seed).alias("seed"), F.lit(attempt[r]).alias("attempt"))
+                         for r, (Q, seed) in sorted(runs.items())])
+        x = docs.select("doc_id", F.explode(spec).alias("s"))
+        u = hash_uniform("doc_id", F.col("s.seed"), F.col("s.attempt"))
+        assign = x.select(F.col("s.run").cast("int").alias("run"), "doc_id",
+                          (F.floor(u * F.col("s.q")) + 1).cast("int").alias("cluster"))
+        got = {row.run: row.k for row in
+               assign.groupBy("run").agg(F.countDistinct("cluster").alias("k")).collect()}
+        bad = [r for r, (Q, _) in runs.items() if got.get(r, 0) != Q]
+        if not bad:
+            return assign
+        for r in bad:
+            attempt[r] += 1
+    raise RuntimeError("could not draw a partition using every cluster")
+
+
 def check_assign(assign: DataFrame, docs: DataFrame, Q: int,
                  n_docs: int | None = None) -> DataFrame:
     """A user partition ``(doc_id, cluster)`` must cover every document

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..config import LIMITS
 from ..functions.hashing import hash_uniform
-from ..functions.kernel import ve_sparse
+from ..functions.kernel import ve_dense, ve_sparse
 from ..functions.special import digamma, lgamma
 from ._util import checkpoint, ship
 from .matrix import CountMatrix, row_normalise
@@ -94,34 +94,58 @@ class Topics:
 
 # ------------------------------------------------------------ VE (D2-D5) ---
 
-def ve_meta(meta: DataFrame, topics: Topics, alpha: float = 1.0, max_iter: int = 100,
-            tol: float = 1e-9, gamma0: dict | None = None, strategy: str = "auto") -> DataFrame:
+def ve_meta(meta: DataFrame, topics, alpha: float = 1.0, max_iter: int = 100,
+            tol: float = 1e-9, gamma0: dict | None = None, strategy: str = "auto",
+            accelerate: bool = False) -> DataFrame:
     """VE-step with beta locked on each meta-document ``(run, cluster, term_id, cnt)``.
 
+    ``topics`` is one :class:`Topics` for every run or a dict ``{run: Topics}``;
+    each distinct beta is broadcast once and all runs are solved in one job.
     Returns ``(run, cluster, n_words, elbo, iters, gamma ARRAY<DOUBLE>)``;
     gamma is the un-normalised gamma of the cluster (sums to K alpha + N_q).
-    ``gamma0`` maps ``(run, cluster)`` to a warm-start vector.
+    ``gamma0`` maps ``(run, cluster)`` to a warm-start vector; ``accelerate``
+    uses SQUAREM (same fixed point) instead of ``max_iter`` plain updates.
     """
     if "run" not in meta.columns:
         meta = meta.withColumn("run", F.lit(0))
+    by_run = topics if isinstance(topics, dict) else None
+    distinct = {}
+    for t in (by_run.values() if by_run else [topics]):
+        distinct.setdefault(id(t), t)
+    total = sum(t.K * t.V * 8 for t in distinct.values())
     if strategy == "auto":
-        strategy = "numpy" if topics.fits_broadcast else "spark"
+        strategy = "numpy" if total <= LIMITS.max_broadcast_bytes else "spark"
     if strategy == "spark":
+        if by_run:
+            parts = [_ve_meta_spark(meta.filter(F.col("run") == r), t, alpha, max_iter, tol, gamma0)
+                     for r, t in by_run.items()]
+            out = parts[0]
+            for p in parts[1:]:
+                out = out.unionByName(p)
+            return out
         return _ve_meta_spark(meta, topics, alpha, max_iter, tol, gamma0)
     ship(meta.sparkSession)
-    bc = topics.broadcast()
-    K = topics.K
+    keys = list(distinct)
+    mats = {i: distinct[k].matrix() for i, k in enumerate(keys)}
+    run_key = ({r: keys.index(id(t)) for r, t in by_run.items()} if by_run else None)
+    bc = meta.sparkSession.sparkContext.broadcast({"mats": mats, "run_key": run_key})
     g0 = dict(gamma0 or {})
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         run, cl = int(pdf["run"].iloc[0]), int(pdf["cluster"].iloc[0])
+        st = bc.value
+        beta = st["mats"][0 if st["run_key"] is None else st["run_key"][run]]
         pdf = pdf.sort_values("term_id")
         terms = pdf["term_id"].to_numpy()
         cnts = pdf["cnt"].to_numpy(dtype=np.float64)
         start = g0.get((run, cl))
-        gamma, elbo, it = ve_sparse(np.zeros(len(terms), dtype=np.int64), terms, cnts, 1,
-                                    bc.value, alpha, max_iter, tol,
-                                    None if start is None else np.asarray(start)[None, :])
+        start = None if start is None else np.asarray(start)[None, :]
+        if accelerate:
+            g, el = ve_dense(cnts[None, :], beta[:, terms], alpha, max_iter, tol, start, True)
+            gamma, elbo, it = g, el, np.array([-1])
+        else:
+            gamma, elbo, it = ve_sparse(np.zeros(len(terms), dtype=np.int64), terms, cnts, 1,
+                                        beta, alpha, max_iter, tol, start)
         return pd.DataFrame({"run": [run], "cluster": [cl], "n_words": [cnts.sum()],
                              "elbo": [float(elbo[0])], "iters": [int(it[0])],
                              "gamma": [gamma[0].tolist()]})
@@ -236,11 +260,12 @@ def _random_beta(K, V, seed, start):
     return b / b.sum(1, keepdims=True)
 
 
-def fit_lda(rows: DataFrame, V: int, K: int, alpha: float = 1.0, nstart: int = 1,
+def fit_lda(rows: DataFrame, V: int, K, alpha: float = 1.0, nstart: int = 1,
             em_max_iter: int = 100, em_tol: float = 1e-4, var_max_iter: int = 20,
             var_tol: float = 1e-6, seed: int = 0, beta0: np.ndarray | None = None,
             return_all: bool = False):
-    """LDA by variational EM, alpha fixed, beta estimated, ``nstart`` restarts.
+    """LDA by variational EM, alpha fixed, beta estimated, ``nstart`` restarts
+    (``K`` may be a list: one topic count per start, for model selection).
 
     All restarts share one scan per EM iteration: the E-step ``mapInPandas``
     solves every document under every active start's beta (broadcast, size
@@ -248,16 +273,19 @@ def fit_lda(rows: DataFrame, V: int, K: int, alpha: float = 1.0, nstart: int = 1
     ``groupBy(start, topic, term_id).sum`` finishes them.  The K x V M-step is
     a row normalisation.  The best start by final bound is kept.
     """
-    if K * V * 8 * max(nstart, 1) > LIMITS.max_broadcast_bytes:  # all starts' betas
-        raise MemoryError("nstart x K x V exceeds the broadcast bound; prune the vocabulary")
+    Ks = list(K) if isinstance(K, (list, tuple)) else [K] * max(nstart, 1)
+    nstart = len(Ks)
+    if sum(Ks) * V * 8 > LIMITS.max_broadcast_bytes:  # all starts' betas
+        raise MemoryError("starts x K x V exceeds the broadcast bound; prune the vocabulary")
     spark = rows.sparkSession
     ship(spark)
     from pyspark import StorageLevel
     rows = rows.select("terms", "cnts").persist(StorageLevel.MEMORY_AND_DISK)  # every EM iteration rescans
     if beta0 is not None:
         betas = {0: np.asarray(beta0, dtype=float)}
+        Ks = [betas[0].shape[0]]
     else:
-        betas = {s: _random_beta(K, V, seed, s) for s in range(nstart)}
+        betas = {s: _random_beta(Ks[s], V, seed, s) for s in range(nstart)}
     active = set(betas)
     ll_prev = {s: None for s in betas}
     trace = {s: [] for s in betas}
@@ -266,7 +294,7 @@ def fit_lda(rows: DataFrame, V: int, K: int, alpha: float = 1.0, nstart: int = 1
     it = 0
     while active:
         keys = sorted(active)
-        bc = spark.sparkContext.broadcast(np.stack([betas[s] for s in keys]))
+        bc = spark.sparkContext.broadcast([betas[s] for s in keys])
 
         def estep(batches, keys=keys, bc=bc):
             stack = bc.value
@@ -298,7 +326,7 @@ def fit_lda(rows: DataFrame, V: int, K: int, alpha: float = 1.0, nstart: int = 1
             st = stats[stats["start"] == s]
             ll = float(st.loc[st["topic"] == 0, "ss"].sum())
             body = st[st["topic"] > 0]
-            m = np.zeros((K, V))
+            m = np.zeros((Ks[s], V))
             m[body["topic"].to_numpy() - 1, body["term_id"].to_numpy()] = body["ss"].to_numpy()
             tot = m.sum(1, keepdims=True)
             tot[tot == 0] = 1.0

@@ -42,7 +42,7 @@ def sequential_greedy(X, Y, beta, alpha, tol, max_epochs):
     for d in range(N):
         meta[Y[d] - 1] += X[d]
     sizes = np.bincount(Y - 1, minlength=Q)
-    gam, elbo = ve_dense(meta, beta, alpha, 100000, tol)
+    gam, elbo = ve_dense(meta, beta, alpha, 100000, tol, accelerate=True)
     words = meta.sum(1)
     for _ in range(max_epochs):
         y0 = Y.copy()
@@ -58,7 +58,7 @@ def sequential_greedy(X, Y, beta, alpha, tol, max_epochs):
             nd = X[d].sum()
             g0 = warm_start(gam[[a] + others], words[[a] + others],
                             words[[a] + others] + np.r_[-nd, np.full(Q - 1, nd)], alpha)
-            g, el = ve_dense(cand, beta, alpha, 100000, tol, g0)
+            g, el = ve_dense(cand, beta, alpha, 100000, tol, g0, accelerate=True)
             delta = np.zeros(Q)
             na = sizes[a]
             for k, q in enumerate(others):
