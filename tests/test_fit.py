@@ -230,3 +230,17 @@ def test_dense_index_matches_sorted(spark):
     v = matrix.vocabulary(df).collect()
     want = sorted({"b", "a", "é", "z", "B", "ab"}, key=lambda s: s.encode())
     assert [r.term for r in sorted(v, key=lambda r: r.term_id)] == want
+
+
+def test_batch_guard_keeps_clusters_non_empty(spark, planted):
+    """Uniform topics: every document prefers the largest cluster, so the
+    guard must keep one member in each cluster (the one losing least)."""
+    docs, truth, cm, beta = planted
+    uniform = np.full((3, cm.V), 1.0 / cm.V)
+    start = init.init_random(cm.docs, 4, seed=2)
+    res = fit(cm, 4, 3, start, uniform, TIGHT, max_epochs=4, mode="batch")
+    sizes = {r.cluster: r.n for r in res.sizes.collect()}
+    assert set(sizes) == {1, 2, 3, 4} and min(sizes.values()) >= 1
+    assert sum(sizes.values()) == cm.N
+    tr = [r.bound for r in res.trace.orderBy("iteration").collect()]
+    assert all(b2 >= b1 - 1e-6 * abs(b1) for b1, b2 in zip(tr, tr[1:]))
