@@ -245,9 +245,7 @@ def bound_icl_lang_source(spark, sf):
     return b.select(F.round("bound", 2).alias("bound"), F.round(icl, 2).alias("icl"))
 
 
-def batch_round_lang_source(spark, sf):
-    """E1, E2 (batch form): one simultaneous reassignment of every document
-    from the language partition under the source topics."""
+def _batch_round(spark, sf):
     docs, cm, assign, beta, ve = _ve_state(spark, sf)
     gam = {(r.run, r.cluster): r.gamma for r in ve.collect()}   # Q x K values
     sizes = {0: [r.n for r in sorted(matrix.cluster_sizes(assign, cm.N).collect(),
@@ -257,9 +255,36 @@ def batch_round_lang_source(spark, sf):
     lnz = fitmod.cluster_log_z(bdf, E).unionByName(fitmod.bias_rows(spark, sizes, cm.N))
     sc = fitmod.batch_scores(fitmod.with_bias(cm.dtm, cm.docs), lnz, len(gam) * (cm.V + 1))
     best = fitmod.best_clusters(sc)
+    return docs, cm, assign, best
+
+
+def batch_round_lang_source(spark, sf):
+    """E1, E2 (batch form): one simultaneous reassignment of every document
+    from the language partition under the source topics."""
+    _, _, _, best = _batch_round(spark, sf)
     return best.select("doc_id", "cluster", F.round("score", 4).alias("score"))
 
 
+def move_meta_lang_source(spark, sf):
+    """Apply the batch round's moves to the language meta-documents by
+    signed addition of the moved rows (no rebuild from scratch)."""
+    _, cm, assign, best = _batch_round(spark, sf)
+    meta = matrix.meta_documents(cm.dtm, assign)
+    moves = (best.select("doc_id", F.col("cluster").alias("to_cluster"))
+             .join(assign.withColumnRenamed("cluster", "from_cluster"), "doc_id")
+             .filter(F.col("to_cluster") != F.col("from_cluster")))
+    out = matrix.move_meta(meta, cm.dtm, moves)
+    return out.select("cluster", "term_id", F.col("cnt").cast("bigint").alias("cnt"))
+
+
+def tidy_beta_lang(spark, sf):
+    """F1: tidy topics (topic, term, beta) of the language topics."""
+    docs, vocab, dtm = _indexed(spark, sf)
+    t = init.beta_from_groups(dtm, docs, "lang", vocab)
+    tb = report.tidy_beta(t.df, vocab)
+    return tb.select("topic", "term", F.round("beta", 12).alias("beta"))
+
+
 def contingency_lang_quality(spark, sf):
     """language x quality label (documents with a label)."""
     docs = _docs(spark, sf, ("doc_id", "lang"))
@@ -378,6 +403,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ve_elbo_lang_source": ve_elbo_lang_source,
     "bound_icl_lang_source": bound_icl_lang_source,
     "batch_round_lang_source": batch_round_lang_source,
+    "move_meta_lang_source": move_meta_lang_source,
+    "tidy_beta_lang": tidy_beta_lang,
     "contingency_lang_quality": contingency_lang_quality,
     "ari_lang_source": ari_lang_source,
     "top_terms_by_role": top_terms_by_role,

@@ -179,6 +179,20 @@ allc AS (SELECT x.doc_id, s.cluster, coalesce(ds.s, 0) + ln(s.n / (SELECT n FROM
 rk AS (SELECT doc_id, cluster, score,
         row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, cluster ASC) AS rn FROM allc)
 SELECT doc_id, cluster, round(score, 4) AS score FROM rk WHERE rn = 1""",
+    "move_meta_lang_source": _ve_ctes() + f""",
+lnz AS (SELECT e.cluster, b.term_id, ln(sum(b.p * exp(e.e))) AS lnz
+        FROM beta b JOIN e{C.VE_ITERS} e ON e.topic = b.topic GROUP BY 1, 2),
+ds AS (SELECT d.doc_id, l.cluster, sum(d.cnt * l.lnz) AS s FROM dtm5 d JOIN lnz l USING (term_id) GROUP BY 1, 2),
+allc AS (SELECT x.doc_id, s.cluster, coalesce(ds.s, 0) + ln(s.n / (SELECT n FROM nn)) AS score
+         FROM (SELECT DISTINCT doc_id FROM documents) x CROSS JOIN sizes s
+         LEFT JOIN ds ON ds.doc_id = x.doc_id AND ds.cluster = s.cluster),
+rk AS (SELECT doc_id, cluster,
+        row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, cluster ASC) AS rn FROM allc)
+SELECT r.cluster, d.term_id, sum(d.cnt)::BIGINT AS cnt
+FROM dtm5 d JOIN rk r ON r.doc_id = d.doc_id AND r.rn = 1 GROUP BY 1, 2""",
+    "tidy_beta_lang": f"""WITH {TOK}, {VOCAB}, {LANG}, {LANG_COUNTS}
+SELECT l.topic, v.term, round(l.cnt / sum(l.cnt) OVER (PARTITION BY l.topic), 12) AS beta
+FROM lc l JOIN vocab v USING (term_id)""",
     "contingency_lang_quality": """
 SELECT d.lang AS a, l.quality AS b, count(*) AS n FROM documents d JOIN labels l USING (doc_id) GROUP BY 1, 2""",
     "ari_lang_source": """WITH c AS (SELECT lang AS a, source AS b, count(*) AS n FROM documents GROUP BY 1, 2),

@@ -244,3 +244,29 @@ def test_batch_guard_keeps_clusters_non_empty(spark, planted):
     assert sum(sizes.values()) == cm.N
     tr = [r.bound for r in res.trace.orderBy("iteration").collect()]
     assert all(b2 >= b1 - 1e-6 * abs(b1) for b1, b2 in zip(tr, tr[1:]))
+
+
+def test_estimate_beta_in_loop(spark, planted):
+    """Beta re-estimated on the meta-documents after each round / move;
+    it stays a stochastic K x V matrix and the fit still ends."""
+    import dataclasses
+    docs, truth, cm, beta = planted
+    ctl = dataclasses.replace(TIGHT, loop=dataclasses.replace(TIGHT.loop, estimate_beta=True,
+                                                              em_max_iter=5, var_max_iter=200,
+                                                              var_tol=1e-8))
+    start = init.init_random(cm.docs, 3, seed=4)
+    for mode in ("batch", "greedy"):
+        res = fit(cm, 3, beta.K, start, beta, ctl, max_epochs=2, mode=mode)
+        B = res.topics.matrix()
+        assert np.allclose(B.sum(1), 1.0) and res.bound < 0
+
+
+def test_alpha_mismatch_warns_and_report_types(spark, planted):
+    docs, truth, cm, beta = planted
+    ctl = Controls(init=VemControl(alpha=2.0), loop=TIGHT.loop, beta_starts=1)
+    with pytest.warns(UserWarning):
+        res = fit(cm, 3, beta.K, truth, beta, ctl, max_epochs=1, mode="batch")
+    assert report.report_table(res, cm.vocab, "bound").count() >= 1
+    assert report.report_table(res, cm.vocab, "topics", n_words=3).count() >= 3 * 3
+    with pytest.raises(ValueError):
+        report.report_table(res, cm.vocab, "histogram")
