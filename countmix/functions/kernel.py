@@ -37,6 +37,14 @@ def _converged(prev, cur, tol):
         return np.abs(cur - prev) <= tol * np.abs(prev)
 
 
+def _segsum(x, starts, nz, n):
+    """Per-segment sums of a flat array whose segments are contiguous."""
+    out = np.zeros(n)
+    if nz.any():
+        out[nz] = np.add.reduceat(x, starts[nz])
+    return out
+
+
 def ve_sparse(seg, terms, cnts, n_seg, beta, alpha, max_iter=100, tol=1e-9,
               gamma0=None, with_stats=False):
     """VE-step for ``n_seg`` sparse count vectors given as flat triplets.
@@ -46,13 +54,19 @@ def ve_sparse(seg, terms, cnts, n_seg, beta, alpha, max_iter=100, tol=1e-9,
     cnts  float array (nnz,)
     Returns ``gamma (n_seg, K)``, ``elbo (n_seg,)``, ``iters (n_seg,)`` and,
     with ``with_stats``, the expected topic counts ``(uniq_terms, ss (K, U))``
-    summed over all rows (the M-step statistics of LDA).
+    summed over all rows (the M-step statistics of LDA).  Rows are processed
+    as contiguous segments (``np.repeat`` / ``np.add.reduceat``), so every
+    pass over the non-zeros is sequential.
     """
     beta = np.asarray(beta, dtype=np.float64)
     K = beta.shape[0]
     seg = np.asarray(seg, dtype=np.int64)
     terms = np.asarray(terms, dtype=np.int64)
     cnts = np.asarray(cnts, dtype=np.float64)
+    if len(seg) > 1 and (np.diff(seg) < 0).any():
+        order = np.argsort(seg, kind="stable")
+        seg, terms, cnts = seg[order], terms[order], cnts[order]
+    lens_all = np.bincount(seg, minlength=n_seg)
     tot = np.bincount(seg, weights=cnts, minlength=n_seg)
     if gamma0 is None:
         gamma = alpha + np.repeat((tot / K)[:, None], K, axis=1)
@@ -63,54 +77,61 @@ def ve_sparse(seg, terms, cnts, n_seg, beta, alpha, max_iter=100, tol=1e-9,
     out_iter = np.zeros(n_seg, dtype=np.int64)
 
     ids = np.arange(n_seg)          # original row of each active row
-    s, B, c = seg, beta[:, terms], cnts
+    lens, B, c = lens_all, beta[:, terms], cnts
     prev = np.full(n_seg, np.nan)
+    frozen = np.zeros(n_seg, bool)  # finished rows not yet compacted away
     t = 0
     while True:
+        n = len(ids)
+        nz = lens > 0
+        starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
         gsum = gamma.sum(1)
         e = digamma(gamma) - digamma(gsum)[:, None]
         ee = np.exp(e)
-        z = np.einsum("kn,nk->n", B, ee[s])
-        pos = z > 0
-        with np.errstate(divide="ignore"):
-            lz = np.where(pos, np.log(np.where(pos, z, 1.0)), -np.inf)
-        contrib = np.where(c > 0, c * lz, 0.0)
-        ll = np.bincount(s, weights=contrib, minlength=len(ids))
+        z = B[0] * np.repeat(ee[:, 0], lens)
+        for k in range(1, K):
+            z += B[k] * np.repeat(ee[:, k], lens)
+        if len(z) == 0 or z.min() > 0:          # usual case: no masking passes
+            pos = None
+            ll = _segsum(c * np.log(z), starts, nz, n)
+        else:
+            pos = z > 0
+            with np.errstate(divide="ignore"):
+                lz = np.where(pos, np.log(np.where(pos, z, 1.0)), -np.inf)
+            ll = _segsum(np.where(c > 0, c * lz, 0.0), starts, nz, n)
         elbo = _bound(gamma, e, ll, alpha, K)
-        done = _converged(prev, elbo, tol) if t > 0 else np.zeros(len(ids), bool)
+        done = _converged(prev, elbo, tol) if t > 0 else np.zeros(n, bool)
         if t >= max_iter:
             done[:] = True
-        if done.any():
-            out_gamma[ids[done]] = gamma[done]
-            out_elbo[ids[done]] = elbo[done]
-            out_iter[ids[done]] = t
-        if done.all():
+        new = done & ~frozen
+        if new.any():
+            out_gamma[ids[new]] = gamma[new]
+            out_elbo[ids[new]] = elbo[new]
+            out_iter[ids[new]] = t
+        frozen |= done
+        if frozen.all():
             break
-        r = np.where(pos, c / np.where(pos, z, 1.0), 0.0)
-        S = np.empty((len(ids), K))
+        r = c / z if pos is None else np.where(pos, c / np.where(pos, z, 1.0), 0.0)
+        S = np.empty((n, K))
         for k in range(K):
-            S[:, k] = np.bincount(s, weights=B[k] * r, minlength=len(ids))
-        gamma = alpha + ee * S
-        prev = elbo
-        if done.any():
-            keep = ~done
-            remap = np.cumsum(keep) - 1
-            tok = keep[s]
-            s = remap[s[tok]]
-            B = B[:, tok]
-            c = c[tok]
-            ids = ids[keep]
-            gamma = gamma[keep]
-            prev = prev[keep]
+            S[:, k] = _segsum(B[k] * r, starts, nz, n)
+        gamma = np.where(frozen[:, None], gamma, alpha + ee * S)
+        prev = np.where(frozen, prev, elbo)
+        if frozen.sum() * 4 >= n:            # compact once a quarter has finished
+            keep = ~frozen
+            tok = np.repeat(keep, lens)
+            B, c = B[:, tok], c[tok]
+            lens, ids = lens[keep], ids[keep]
+            gamma, prev = gamma[keep], prev[keep]
+            frozen = np.zeros(len(ids), bool)
         t += 1
 
     if not with_stats:
         return out_gamma, out_elbo, out_iter
     uniq, inv = np.unique(terms, return_inverse=True)
-    gsum = out_gamma.sum(1)
-    ee = np.exp(digamma(out_gamma) - digamma(gsum)[:, None])
+    ee = np.exp(digamma(out_gamma) - digamma(out_gamma.sum(1))[:, None])
     Bf = beta[:, terms]
-    w = Bf * ee[seg].T                     # K x nnz
+    w = Bf * np.repeat(ee, lens_all, axis=0).T          # K x nnz
     z = w.sum(0)
     with np.errstate(invalid="ignore", divide="ignore"):
         phi = np.where(z > 0, cnts / z, 0.0) * w
