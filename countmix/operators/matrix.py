@@ -97,11 +97,18 @@ def term_totals(dtm: DataFrame) -> DataFrame:
 
 def dims(docs: DataFrame, vocab: DataFrame, dtm: DataFrame) -> DataFrame:
     """One row ``(n_docs, n_terms, nnz, n_tokens)``: N, V and the sparsity."""
-    a = docs.agg(F.countDistinct("doc_id").alias("n_docs"))
-    b = vocab.agg(F.count(F.lit(1)).alias("n_terms"))
-    c = dtm.agg(F.count(F.lit(1)).alias("nnz"),
-                F.coalesce(F.sum("cnt"), F.lit(0)).cast("bigint").alias("n_tokens"))
-    return a.crossJoin(b).crossJoin(c)  # three single-row aggregates
+    # one aggregation over a tagged union (no join of the three tables)
+    u = (docs.select(F.lit(0).alias("k"), F.col("doc_id").cast("bigint").alias("doc_id"),
+                     F.lit(None).cast("bigint").alias("cnt"))
+         .unionByName(vocab.select(F.lit(1).alias("k"), F.lit(None).cast("bigint").alias("doc_id"),
+                                   F.lit(None).cast("bigint").alias("cnt")))
+         .unionByName(dtm.select(F.lit(2).alias("k"), F.lit(None).cast("bigint").alias("doc_id"),
+                                 F.col("cnt").cast("bigint").alias("cnt"))))
+    return u.agg(
+        F.countDistinct(F.when(F.col("k") == 0, F.col("doc_id"))).alias("n_docs"),
+        F.count(F.when(F.col("k") == 1, F.lit(1))).alias("n_terms"),
+        F.count(F.when(F.col("k") == 2, F.lit(1))).alias("nnz"),
+        F.coalesce(F.sum(F.when(F.col("k") == 2, F.col("cnt"))), F.lit(0)).cast("bigint").alias("n_tokens"))
 
 
 def count_matrix(df: DataFrame, row: str, col: str, weight: str | None = None) -> DataFrame:

@@ -22,6 +22,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.driver.memory": "16g",
+    # per-round checkpoints of iterative fits are removed once unreferenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # one BLAS thread per task: Spark already runs one task per core
     "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
     "spark.executorEnv.OMP_NUM_THREADS": "1",
