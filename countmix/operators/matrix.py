@@ -17,7 +17,7 @@ from ._util import bounded_broadcast, checkpoint
 _LOCAL_BITS = 33  # monotonically_increasing_id(): partition index << 33 | row
 
 
-def dense_index(df: DataFrame, col: str, out: str) -> DataFrame:
+def dense_index(df: DataFrame, col: str, out: str, with_count: bool = False):
     """``(out, col)``: the distinct values of ``col`` numbered 0.. in ascending
     (binary / code point) order.
 
@@ -42,12 +42,14 @@ def dense_index(df: DataFrame, col: str, out: str) -> DataFrame:
         offsets = [0]
     off = F.element_at(F.array(*[F.lit(o) for o in offsets]).cast("array<bigint>"),
                        F.col("_pid") + 1)
-    return vals.select((off + local).cast("int").alias(out), col)
+    res = vals.select((off + local).cast("int").alias(out), col)
+    return (res, acc) if with_count else res   # acc: exact number of values
 
 
-def vocabulary(terms: DataFrame) -> DataFrame:
-    """Vocabulary ``(term_id INT, term STRING)``, term_id = alphabetical rank."""
-    return dense_index(terms.select("term"), "term", "term_id")
+def vocabulary(terms: DataFrame, with_count: bool = False):
+    """Vocabulary ``(term_id INT, term STRING)``, term_id = alphabetical rank
+    (with ``with_count``: also V, known exactly from the ranking pass)."""
+    return dense_index(terms.select("term"), "term", "term_id", with_count)
 
 
 def index_terms(dtm: DataFrame, vocab: DataFrame, n_vocab: int | None = None) -> DataFrame:
@@ -56,7 +58,8 @@ def index_terms(dtm: DataFrame, vocab: DataFrame, n_vocab: int | None = None) ->
     return dtm.join(v, "term").select("doc_id", "term_id", "cnt")
 
 
-def drop_empty_terms(dtm: DataFrame, vocab: DataFrame, min_docs: int = 1) -> DataFrame:
+def drop_empty_terms(dtm: DataFrame, vocab: DataFrame, min_docs: int = 1,
+                     with_count: bool = False):
     """Keep vocabulary terms present (cnt > 0) in at least ``min_docs``
     documents of ``dtm(doc_id, term, cnt)``; the survivors are re-ranked.
 
@@ -66,7 +69,7 @@ def drop_empty_terms(dtm: DataFrame, vocab: DataFrame, min_docs: int = 1) -> Dat
           .agg(F.count(F.lit(1)).alias("df"))
           .filter(F.col("df") >= min_docs).select("term"))
     kept = vocab.select("term").join(df, "term", "left_semi")
-    return vocabulary(kept)
+    return vocabulary(kept, with_count)
 
 
 def sparse_rows(dtm: DataFrame, docs: DataFrame | None = None) -> DataFrame:
@@ -212,9 +215,8 @@ def build_count_matrix(docs: DataFrame, term_dtm: DataFrame, min_docs: int = 1,
     from pyspark import StorageLevel
 
     term_dtm = term_dtm.persist(StorageLevel.MEMORY_AND_DISK)   # tokenise once
-    vocab = drop_empty_terms(term_dtm, term_dtm.select("term").distinct(), min_docs)
+    vocab, V = drop_empty_terms(term_dtm, term_dtm.select("term").distinct(), min_docs, True)
     vocab = checkpoint(vocab) if persist else vocab
-    V = vocab.count()
     dtm = index_terms(term_dtm, vocab, V)
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
     if persist:

@@ -50,8 +50,8 @@ def _term_dtm(spark, sf):
 def _indexed(spark, sf):
     """docs, vocabulary over every term, and indexed triplets."""
     docs, tdtm = _term_dtm(spark, sf)
-    vocab = matrix.vocabulary(tdtm.select("term"))
-    dtm = matrix.index_terms(tdtm, vocab)
+    vocab, V = matrix.vocabulary(tdtm.select("term"), with_count=True)
+    dtm = matrix.index_terms(tdtm, vocab, V)
     return docs, vocab, dtm
 
 
@@ -304,8 +304,8 @@ def top_terms_by_role(spark, sf):
     conv = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
     d = conv.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("doc_id"), "role", "text")
     tdtm = text.document_term_matrix(text.tokens(d))
-    vocab = matrix.vocabulary(tdtm.select("term"))
-    dtm = matrix.index_terms(tdtm, vocab)
+    vocab, V = matrix.vocabulary(tdtm.select("term"), with_count=True)
+    dtm = matrix.index_terms(tdtm, vocab, V)
     beta = init.beta_from_groups(dtm, d, "role", vocab)
     top = report.top_terms(beta.df, vocab, beta.K, TOP_N, ENTROPY_S)
     return top.select("topic", "term", F.round("weight", 9).alias("weight"),
