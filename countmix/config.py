@@ -16,6 +16,9 @@ class Limits:
     max_broadcast_rows: int = 2_000_000
     # Numpy state shipped to executors (beta K x V, meta Q x V) in bytes.
     max_broadcast_bytes: int = 512 * 1024 * 1024
+    # Cached matrix partitions are sized to about this many non-zeros
+    # (~100 MB of sparse rows), never fewer partitions than cores.
+    nnz_per_partition: int = 8_000_000
 
 
 LIMITS = Limits()

@@ -24,6 +24,36 @@ import numpy as np
 
 from .special import digamma, lgamma
 
+_BLAS_PINNED = False
+
+
+def single_thread_blas() -> None:
+    """Pin the BLAS bundled with numpy to one thread in this process.
+
+    Spark already runs one task per core; a multi-threaded BLAS inside every
+    Python worker would oversubscribe the cores.  Sessions built with
+    :func:`countmix.session.get_spark` set the thread variables for workers;
+    this covers any other session (a no-op when no OpenBLAS is found)."""
+    global _BLAS_PINNED
+    if _BLAS_PINNED:
+        return
+    _BLAS_PINNED = True
+    try:
+        import ctypes
+        import glob
+        import os
+        base = os.path.dirname(os.path.dirname(np.__file__))
+        for path in glob.glob(os.path.join(base, "numpy.libs", "*openblas*")):
+            lib = ctypes.CDLL(path)
+            for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads",
+                         "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                fn = getattr(lib, name, None)
+                if fn is not None:
+                    fn(1)
+                    return
+    except Exception:  # pragma: no cover - best effort only
+        pass
+
 
 def _bound(gamma, e, ll, alpha, K):
     const = lgamma(np.array(K * alpha)) - K * lgamma(np.array(alpha))

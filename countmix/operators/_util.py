@@ -31,3 +31,25 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+class sized_shuffles:
+    """Context manager: run the enclosed jobs with ``spark.sql.shuffle.partitions``
+    set to ``n`` (sized from the data by the caller), then restore it.
+
+    Iterative fits run many small aggregations per round; sizing their
+    shuffles to the matrix (non-zeros per partition, at least one per core)
+    instead of a session-wide default keeps each round's task count right at
+    every scale."""
+
+    def __init__(self, spark, n: int):
+        self.spark, self.n, self.old = spark, int(n), None
+
+    def __enter__(self):
+        self.old = self.spark.conf.get("spark.sql.shuffle.partitions")
+        self.spark.conf.set("spark.sql.shuffle.partitions", str(self.n))
+        return self
+
+    def __exit__(self, *exc):
+        self.spark.conf.set("spark.sql.shuffle.partitions", self.old)
+        return False

@@ -199,6 +199,22 @@ class CountMatrix:
     N: int
     V: int
 
+    _nnz: int | None = None
+
+    @property
+    def nnz(self) -> int:
+        """Exact number of non-zeros (one count of the checkpointed triplets)."""
+        if self._nnz is None:
+            self._nnz = self.dtm.count()
+        return self._nnz
+
+    def partitions(self) -> int:
+        """Partition count for the cached matrix: sized by non-zeros
+        (``LIMITS.nnz_per_partition``), at least one per core."""
+        from ..config import LIMITS
+        cores = self.dtm.sparkSession.sparkContext.defaultParallelism
+        return max(cores, -(-self.nnz // LIMITS.nnz_per_partition))
+
     def rows(self) -> DataFrame:
         return sparse_rows(self.dtm, self.docs)
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..config import LIMITS
 from ..functions.hashing import hash_uniform
-from ..functions.kernel import ve_dense, ve_sparse
+from ..functions.kernel import single_thread_blas, ve_dense, ve_sparse
 from ..functions.special import digamma, lgamma
 from ._util import checkpoint, ship
 from .matrix import CountMatrix, row_normalise
@@ -132,6 +132,7 @@ def ve_meta(meta: DataFrame, topics, alpha: float = 1.0, max_iter: int = 100,
     g0 = dict(gamma0 or {})
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        single_thread_blas()
         run, cl = int(pdf["run"].iloc[0]), int(pdf["cluster"].iloc[0])
         st = bc.value
         beta = st["mats"][0 if st["run_key"] is None else st["run_key"][run]]
@@ -263,7 +264,7 @@ def _random_beta(K, V, seed, start):
 def fit_lda(rows: DataFrame, V: int, K, alpha: float = 1.0, nstart: int = 1,
             em_max_iter: int = 100, em_tol: float = 1e-4, var_max_iter: int = 20,
             var_tol: float = 1e-6, seed: int = 0, beta0: np.ndarray | None = None,
-            return_all: bool = False):
+            return_all: bool = False, n_partitions: int | None = None):
     """LDA by variational EM, alpha fixed, beta estimated, ``nstart`` restarts
     (``K`` may be a list: one topic count per start, for model selection).
 
@@ -280,6 +281,8 @@ def fit_lda(rows: DataFrame, V: int, K, alpha: float = 1.0, nstart: int = 1,
     spark = rows.sparkSession
     ship(spark)
     from pyspark import StorageLevel
+    if n_partitions:
+        rows = rows.repartition(n_partitions)
     rows = rows.select("terms", "cnts").persist(StorageLevel.MEMORY_AND_DISK)  # every EM iteration rescans
     if beta0 is not None:
         betas = {0: np.asarray(beta0, dtype=float)}
@@ -297,6 +300,7 @@ def fit_lda(rows: DataFrame, V: int, K, alpha: float = 1.0, nstart: int = 1,
         bc = spark.sparkContext.broadcast([betas[s] for s in keys])
 
         def estep(batches, keys=keys, bc=bc):
+            single_thread_blas()
             stack = bc.value
             for pdf in batches:
                 if len(pdf) == 0:
@@ -356,6 +360,7 @@ def doc_gamma(rows: DataFrame, topics: Topics, alpha: float = 1.0, max_iter: int
     bc = topics.broadcast()
 
     def solve(batches):
+        single_thread_blas()
         for pdf in batches:
             lens = pdf["terms"].map(len).to_numpy()
             seg = np.repeat(np.arange(len(pdf)), lens)
@@ -380,7 +385,10 @@ def init_beta_lda(cm: CountMatrix, K: int, alpha: float = 1.0, nstart: int = 5,
     sampler is sequential, so the starts here are VEM starts with different
     seeds, all sharing each E-step scan."""
     rows = cm.rows() if rows is None else rows
-    res = fit_lda(rows, cm.V, K, alpha, nstart, em_max_iter, em_tol, var_max_iter, var_tol, seed)
+    from ._util import sized_shuffles
+    with sized_shuffles(cm.dtm.sparkSession, cm.partitions()):
+        res = fit_lda(rows, cm.V, K, alpha, nstart, em_max_iter, em_tol, var_max_iter, var_tol,
+                      seed, n_partitions=cm.partitions())
     return res.topics
 
 
@@ -393,8 +401,11 @@ def init_kmeans_lda(cm: CountMatrix, Q: int, K: int, nruns: int = 1, seed: int =
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    from ._util import sized_shuffles
     rows = cm.rows() if rows is None else rows
-    lda = fit_lda(rows, cm.V, K, alpha, nstart, em_max_iter, 1e-4, var_max_iter, 1e-6, seed)
+    with sized_shuffles(cm.dtm.sparkSession, cm.partitions()):
+        lda = fit_lda(rows, cm.V, K, alpha, nstart, em_max_iter, 1e-4, var_max_iter, 1e-6, seed,
+                      n_partitions=cm.partitions())
     theta = doc_gamma(rows, lda.topics, alpha, var_max_iter, 1e-6)
     feats = theta.select("doc_id", array_to_vector("theta").alias("features")).persist()
     best, best_cost = None, None

@@ -74,6 +74,10 @@ def ship_package(spark: SparkSession) -> None:
     mechanism): zip the package once per SparkContext and ``addPyFile`` it.
     A no-op when the package is already importable from a site directory."""
     sc = spark.sparkContext
+    # model state moves between driver and executors as Arrow batches
+    # (topic matrices, EM statistics); the row-by-row path is far slower
+    if spark.conf.get("spark.sql.execution.arrow.pyspark.enabled", "false") != "true":
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     key = id(sc._jsc)
     if key in _SHIPPED:
         return
