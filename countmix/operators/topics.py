@@ -204,7 +204,8 @@ def _ve_meta_spark(meta, topics, alpha, max_iter, tol, gamma0):
                 out[key] = (g, b, it)
             else:
                 prev[key] = b
-                gam[key] = alpha + np.exp(e) * S.get(key, np.zeros(K))
+                # s_k = sum_v n_v beta_kv exp(e_k) / z_v already carries exp(e_k)
+                gam[key] = alpha + S.get(key, np.zeros(K))
         if len(out) == len(gam):
             break
         it += 1
