@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from typing import Callable
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

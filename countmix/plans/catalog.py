@@ -9,7 +9,6 @@ doubles rounded) exactly as in the matching oracle SQL of
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
