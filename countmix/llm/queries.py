@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import bpe, seqfile
+from . import bpe, decontam, secret_scan, seqfile, simhash
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -18,14 +18,33 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seqfile.read_digests(spark, manifest)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, within 8 % edits."""
+    return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document by batched merge rounds."""
     return bpe.token_digests(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; a source is an owner, its documents of one
+    language are a repository."""
+    return secret_scan.report(read_table(spark, sf_dir, "documents"), owner_col="source", repo_col="lang")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
+    "op7_secret_scan": op7_secret_scan,
+    "op9_simhash": op9_simhash,
 }
 
 SQL: dict[str, str] = {}
