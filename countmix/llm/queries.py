@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import bpe, decontam, secret_scan, seqfile, simhash
+from . import bpe, decontam, kneser_ney, secret_scan, seqfile, simhash, wrappers
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -18,6 +18,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seqfile.read_digests(spark, manifest)
 
 
+def op3_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by its host's inferred wrapper."""
+    return wrappers.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document holds, within 8 % edits."""
     return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -34,6 +39,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(read_table(spark, sf_dir, "documents"), owner_col="source", repo_col="lang")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document and whether its language's threshold keeps it."""
+    return kneser_ney.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -41,9 +51,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op3_html_wrappers": op3_html_wrappers,
     "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
     "op7_secret_scan": op7_secret_scan,
+    "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
 }
 

@@ -23,7 +23,7 @@ an empty table has no shard.
 from __future__ import annotations
 
 import hashlib
-import re
+import json
 import uuid
 import zlib
 
@@ -40,44 +40,64 @@ from .common import scratch, texts
 #: Sequences in a record batch.
 BATCH_SEQUENCES = 256
 #: Distinct pieces whose ids a worker remembers.
-CACHE_PIECES = 200_000
-#: ASCII separators that str.split() takes for white space and tokenizers don't.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+CACHE_PIECES = 600_000
 
 
 class LibraryEncoder:
-    """Whole texts through the tokenizers library.  With ``by_piece`` each
-    distinct piece between white space is encoded once: right for tokenizers
-    that drop white space (their tokens never reach across it)."""
+    """Whole texts (UTF-8) through the tokenizers library.  With ``by_piece`` each
+    distinct piece between ASCII white space is encoded once: right for
+    tokenizers that drop white space (their tokens never reach across it).  New
+    pieces go to the library joined by a special token, which always splits."""
 
     def __init__(self, spec: str, by_piece: bool):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(spec)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.by_piece, self.pieces = by_piece, {}
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 65_536 else np.dtype("<u4")
-
-    def _ids(self, batch: list[str]) -> list[bytes]:
-        got = self.tok.encode_batch(batch, add_special_tokens=False)
+        j = json.loads(spec)
+        special = [t for t in j["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"])]
+        self.special = [t["content"].lower().encode() for t in j["added_tokens"]]
+        self.cut, self.cut_id = (special[0]["content"], special[0]["id"]) if special else (None, None)
+        # texts that differ in ASCII case only are one to a lower-casing tokenizer
+        norm = j["normalizer"] or {}
+        self.lower = any(n["type"] == "Lowercase" for n in norm.get("normalizers", [norm] if norm else []))
+        self.by_piece, self.pieces = by_piece and self.cut is not None, {}
+
+    def _ids(self, batch: list[bytes]) -> list[bytes]:
+        got = self.tok.encode_batch_fast([t.decode() for t in batch], add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in got]
 
-    def encode(self, batch: list[str]) -> list[bytes]:
+    def _learn(self, new: list[bytes]) -> None:
+        lines = [new[i:i + 500] for i in range(0, len(new), 500)]
+        got = self.tok.encode_batch_fast([self.cut.join([p.decode() for p in line]) for line in lines], add_special_tokens=False)
+        for line, e in zip(lines, got, strict=True):
+            ids = np.array(e.ids, dtype=self.dtype)
+            at = np.flatnonzero(ids == self.cut_id)
+            flat, size = ids.tobytes(), self.dtype.itemsize
+            starts = [0, *((at + 1) * size).tolist()]
+            ends = [*(at * size).tolist(), len(flat)]
+            self.pieces.update(zip(line, map(flat.__getitem__, map(slice, starts, ends)), strict=True))
+
+    def encode(self, batch: list[bytes]) -> list[bytes]:
         """The little-endian ids of each text."""
         if not self.by_piece:
             return self._ids(batch)
-        whole = [i for i, t in enumerate(batch) if _ODD_SPACE.search(t)]
-        cut = [t.split() for t in batch]
+        low = [t.lower() for t in batch]
+        whole = [i for i, t in enumerate(low) if any(s in t for s in self.special)]
+        cut = [t.split() for t in (low if self.lower else batch)]
         for i in whole:
             cut[i] = []
-        new = set().union(*cut).difference(self.pieces)
+        words = set().union(*cut)
+        new = words.difference(self.pieces)
         if len(self.pieces) + len(new) > CACHE_PIECES:
-            self.pieces, new = {}, set().union(*cut)
-        todo = list(new)
-        self.pieces.update(zip(todo, self._ids(todo), strict=True))
+            self.pieces, new = {}, words
+        if new:
+            self._learn(list(new))
         out = [b"".join(map(self.pieces.__getitem__, ws)) for ws in cut]
-        for i, ids in zip(whole, self._ids([batch[i] for i in whole]), strict=True):
-            out[i] = ids
+        if whole:
+            for i, ids in zip(whole, self._ids([batch[i] for i in whole]), strict=True):
+                out[i] = ids
         return out
 
 
@@ -160,7 +180,7 @@ def write_sequences(docs: DataFrame, tokenizer_path: str, out_dir: str | None =
     rows = texts(docs, id_col, text_col)
     n = rows.rdd.getNumPartitions()
     tie = F.xxhash64("text").alias("tie")
-    ordered = rows.select("doc_id", "text", tie).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    ordered = rows.select("doc_id", "text", tie).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", F.col("text").cast("binary").alias("text"))
     out_dir = out_dir or scratch(spark, "sequences")
 
     def run(batches):
