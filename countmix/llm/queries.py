@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import bpe, decontam, kneser_ney, secret_scan, seqfile, simhash, wrappers
+from . import bpe, decontam, kneser_ney, secret_scan, seqfile, simhash, wrappers, zdict
+from .common import held_out
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -23,6 +24,13 @@ def op3_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    out = zdict.score(docs, zdict.train(docs, labels, ~held_out("doc_id", 0)))
+    return out.select("doc_id", held_out("doc_id", 0).alias("held_out"), "score", "predicted", "gain")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document holds, within 8 % edits."""
     return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -52,6 +60,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_html_wrappers": op3_html_wrappers,
+    "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
     "op7_secret_scan": op7_secret_scan,
