@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, decontam, kneser_ney, secret_scan, seqfile, simhash, wrappers, zdict
+from . import bpe, decontam, kneser_ney, lsh, secret_scan, seqfile, simhash, wrappers, zdict
 from .common import held_out
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -57,6 +58,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found of every vector whose id 20 divides."""
+    return lsh.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_html_wrappers": op3_html_wrappers,
@@ -66,6 +72,7 @@ QUERIES = {
     "op7_secret_scan": op7_secret_scan,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
+    "op10_nearest": op10_nearest,
 }
 
 SQL: dict[str, str] = {}
