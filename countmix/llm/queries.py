@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, decontam, kneser_ney, lsh, secret_scan, seqfile, simhash, wrappers, zdict
+from . import bpe, decontam, hpylm, kneser_ney, lsh, secret_scan, seqfile, simhash, wrappers, zdict
 from .common import held_out
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -20,6 +20,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seqfile.read_digests(spark, manifest)
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under the hierarchical Pitman-Yor
+    model of the documents that are not held out."""
+    return hpylm.score(read_table(spark, sf_dir, "documents"), held_out("doc_id", 1))
+
+
 def op3_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page by its host's inferred wrapper."""
     return wrappers.extract(read_table(spark, sf_dir, "pages"))
@@ -65,6 +71,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_pitman_yor": op2_pitman_yor,
     "op3_html_wrappers": op3_html_wrappers,
     "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
