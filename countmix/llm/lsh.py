@@ -8,8 +8,8 @@ Gaussian ``a``.  A query's own bucket is visited first, then perturbed buckets
 in the order of their estimated success: the squared distances from the query's
 projections to the bucket's cells, added up.  Visits stop at a budget that is
 fitted on a bounded sample: the score within which a share ``target`` of the true
-neighbours of sample queries lies in at least one table.  Candidates of all
-tables merge and are reranked by exact products in double precision.
+neighbours of sample queries lies in at least one table, but not before a block
+has given as many candidates as are asked for.  Candidates of all tables merge and are reranked by exact products in double precision.
 
 Equal vectors form a class that is indexed once; answers are expanded to its
 smallest ids, as many as can matter.  Queries and index meet in blocks of
@@ -104,11 +104,12 @@ def search_block(index: Index, q: np.ndarray, v: np.ndarray, k: int, part: int =
     for lo in range(0, len(q), part):
         own = q[lo:lo + part]
         proj = index.project(index.queries(own))
-        mark = np.zeros((len(own), len(v)), dtype=bool)
+        reached = np.full((len(own), len(v)), math.inf)
         for t, (buckets, of) in enumerate(members):
-            visited = bucket_scores(proj[t], buckets) <= index.budget
-            mark |= visited[:, of.ravel()]
-        score = np.where(mark, own @ v.T, -math.inf)
+            np.minimum(reached, bucket_scores(proj[t], buckets)[:, of.ravel()], out=reached)
+        least = min(k, len(v)) - 1  # visits go on until there are k candidates
+        limit = np.maximum(index.budget, np.partition(reached, least, axis=1)[:, least])
+        score = np.where(reached <= limit[:, None], own @ v.T, -math.inf)
         first = np.argsort(-score, axis=1, kind="stable")[:, :k]
         value = np.take_along_axis(score, first, axis=1)
         row, col = np.nonzero(value > -math.inf)
