@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import uuid
 import zlib
 
@@ -50,6 +51,7 @@ class LibraryEncoder:
     pieces go to the library joined by a special token, which always splits."""
 
     def __init__(self, spec: str, by_piece: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(spec)
         self.tok.no_truncation()
@@ -63,14 +65,24 @@ class LibraryEncoder:
         norm = j["normalizer"] or {}
         self.lower = any(n["type"] == "Lowercase" for n in norm.get("normalizers", [norm] if norm else []))
         self.by_piece, self.pieces = by_piece and self.cut is not None, {}
+        # what the normalizer leaves as it is, lower-case ASCII without space, can skip it
+        steps = norm.get("normalizers", [norm] if norm else [])
+        idle = all(n["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or (n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"}) for n in steps)
+        self.plain = Tokenizer.from_str(json.dumps(j | {"normalizer": None, "truncation": None, "padding": None})) if idle and self.lower else None
 
     def _ids(self, batch: list[bytes]) -> list[bytes]:
         got = self.tok.encode_batch_fast([t.decode() for t in batch], add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in got]
 
     def _learn(self, new: list[bytes]) -> None:
+        if self.plain is not None:
+            self._add(self.plain, [p for p in new if p.isascii()])
+            new = [p for p in new if not p.isascii()]
+        self._add(self.tok, new)
+
+    def _add(self, tok, new: list[bytes]) -> None:
         lines = [new[i:i + 500] for i in range(0, len(new), 500)]
-        got = self.tok.encode_batch_fast([self.cut.join([p.decode() for p in line]) for line in lines], add_special_tokens=False)
+        got = tok.encode_batch_fast([self.cut.join([p.decode() for p in line]) for line in lines], add_special_tokens=False)
         for line, e in zip(lines, got, strict=True):
             ids = np.array(e.ids, dtype=self.dtype)
             at = np.flatnonzero(ids == self.cut_id)
