@@ -11,7 +11,9 @@ For counts n_v, symmetric Dirichlet ``alpha`` and topics ``beta`` (K x V):
 ``gamma`` starts at ``alpha + (sum n)/K``.  Iteration t evaluates the bound at
 the current gamma; it stops once ``|dELBO| <= tol * |ELBO_prev|`` or after
 ``max_iter`` gamma updates, and returns the last gamma with its own bound.
-Each row (segment) converges independently.  The updated gamma always sums to
+Each row (segment) converges independently.  A term whose probability is 0 in
+every topic is left out of the bound and of the update (the same rule as the
+inner join of the distributed path).  The updated gamma always sums to
 ``K alpha + sum n``, so it is already the un-normalised gamma of a cluster.
 
 These functions run inside Spark tasks (``applyInPandas`` / ``mapInPandas``)
@@ -127,8 +129,8 @@ def ve_sparse(seg, terms, cnts, n_seg, beta, alpha, max_iter=100, tol=1e-9,
         else:
             pos = z > 0
             with np.errstate(divide="ignore"):
-                lz = np.where(pos, np.log(np.where(pos, z, 1.0)), -np.inf)
-            ll = _segsum(np.where(c > 0, c * lz, 0.0), starts, nz, n)
+                lz = np.where(pos, np.log(np.where(pos, z, 1.0)), 0.0)
+            ll = _segsum(c * lz, starts, nz, n)
         elbo = _bound(gamma, e, ll, alpha, K)
         done = _converged(prev, elbo, tol) if t > 0 else np.zeros(n, bool)
         if t >= max_iter:
@@ -191,8 +193,7 @@ def _map(gamma, X, Bt, mask, alpha, K):
     z = ee @ Bt
     ok = mask & (z > 0)
     with np.errstate(divide="ignore", invalid="ignore"):
-        lz = np.log(np.where(ok, z, 1.0))
-        ll = np.where(mask, np.where(z > 0, X * lz, -np.inf), 0.0).sum(1)
+        ll = (X * np.log(np.where(ok, z, 1.0))).sum(1)
     elbo = _bound(gamma, e, ll, alpha, K)
     r = np.where(ok, X / np.where(ok, z, 1.0), 0.0)
     return elbo, alpha + ee * (r @ Bt.T)
@@ -284,8 +285,7 @@ def ve_dense(counts, beta, alpha, max_iter=100, tol=1e-9, gamma0=None, accelerat
         z = ee @ Bt
         ok = mask & (z > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            lz = np.log(np.where(ok, z, 1.0))
-            ll = np.where(mask, np.where(z > 0, X * lz, -np.inf), 0.0).sum(1)
+            ll = (X * np.log(np.where(ok, z, 1.0))).sum(1)
         elbo = _bound(gamma, e, ll, alpha, K)
         done = _converged(prev, elbo, tol) if t > 0 else np.zeros(len(ids), bool)
         if t >= max_iter:

@@ -10,14 +10,14 @@ from ..config import LIMITS
 
 def bounded_broadcast(df: DataFrame, n_rows: int | None = None,
                       max_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when its exact row count is within the bound.
+    """Broadcast ``df`` only when its known exact row count is within the bound.
 
-    Beyond the bound the plain DataFrame is returned and Spark shuffles both
-    sides (AQE then splits skewed partitions of a hot key).
+    Beyond the bound, or when the count is not known, the plain DataFrame is
+    returned: Spark shuffles both sides, or broadcasts the small one once its
+    measured size allows (AQE, which also splits a hot key's partition).
     """
     limit = LIMITS.max_broadcast_rows if max_rows is None else max_rows
-    n = df.count() if n_rows is None else n_rows
-    return F.broadcast(df) if n <= limit else df
+    return F.broadcast(df) if n_rows is not None and n_rows <= limit else df
 
 
 def ship(spark) -> None:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform
-from .matrix import CountMatrix, row_normalise
+from ._util import bounded_broadcast
+from .matrix import CountMatrix, dense_index, row_normalise
 
 # ----------------------------------------------------------- validation ---
 
@@ -16,31 +19,28 @@ def check_kq(K, Q, keep=1):
     """V1/V2: K and Q integers >= 2; keep an integer >= 1."""
     for name, v in (("K", K), ("Q", Q)):
         if int(v) != v or int(v) < 2:
-            raise ValueError(f"'{name}' needs to be an integer of at least 2")
+            raise ValueError(f"{name} must be a whole number from 2 on, got {v!r}")
     if int(keep) != keep or int(keep) < 1:
-        raise ValueError("'keep' needs to be a positive integer")
+        raise ValueError(f"keep must be a whole number from 1 on, got {keep!r}")
 
 
 # -------------------------------------------------------------- C1 / C8 ---
 
-def init_random(docs: DataFrame, Q: int, seed: int = 0, n_docs: int | None = None,
-                max_attempts: int = 1000) -> DataFrame:
+def init_random(docs: DataFrame, Q: int, seed: int = 0, n_docs: int | None = None) -> DataFrame:
     """Each document uniform over clusters 1..Q, redrawn (as a whole) until
     every cluster occurs.  A draw is ``md5(doc_id:seed:attempt)``, so the result
     does not depend on partitioning.  ``N < Q`` cannot succeed and raises."""
     n = docs.count() if n_docs is None else n_docs
     if n < Q:
         raise ValueError(f"cannot split {n} documents into {Q} non-empty clusters")
-    for attempt in range(max_attempts):
+    for attempt in itertools.count():
         u = hash_uniform("doc_id", F.lit(seed), F.lit(attempt))
         assign = docs.select("doc_id", (F.floor(u * Q) + 1).cast("int").alias("cluster"))
         if assign.select("cluster").distinct().count() == Q:
             return assign
-    raise RuntimeError("could not draw a partition using every cluster")
 
 
-def init_random_runs(docs: DataFrame, runs: dict, n_docs: int | None = None,
-                     max_attempts: int = 1000) -> DataFrame:
+def init_random_runs(docs: DataFrame, runs: dict, n_docs: int | None = None) -> DataFrame:
     """C1 for many restarts in one pass: ``runs = {run: (Q, seed)}`` gives
     ``(run, doc_id, cluster)``; run r equals ``init_random(docs, Q_r, seed_r)``.
     Each document row is repeated once per run with ``explode`` (no join);
@@ -50,7 +50,7 @@ def init_random_runs(docs: DataFrame, runs: dict, n_docs: int | None = None,
         if n < Q:
             raise ValueError(f"cannot split {n} documents into {Q} non-empty clusters")
     attempt = {r: 0 for r in runs}
-    for _ in range(max_attempts):
+    while True:
         spec = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(Q).alias("q"),
                                   F.lit(seed).alias("seed"), F.lit(attempt[r]).alias("attempt"))
                          for r, (Q, seed) in sorted(runs.items())])
@@ -65,7 +65,6 @@ def init_random_runs(docs: DataFrame, runs: dict, n_docs: int | None = None,
             return assign
         for r in bad:
             attempt[r] += 1
-    raise RuntimeError("could not draw a partition using every cluster")
 
 
 def check_assign(assign: DataFrame, docs: DataFrame, Q: int,
@@ -86,13 +85,12 @@ def check_assign(assign: DataFrame, docs: DataFrame, Q: int,
     n_lab = labels.count()
     if n_lab != Q:
         raise ValueError(f"the partition must use {Q} groups, not {n_lab}")
-    order = sorted(r[0] for r in labels.collect())  # exactly Q values, checked above
-    mapping = F.create_map(*[x for i, lab in enumerate(order) for x in (F.lit(lab), F.lit(i + 1))])
-    return a.select("doc_id", mapping[F.col("cluster")].cast("int").alias("cluster"))
+    return _ranked(a, "cluster")[0].select("doc_id", F.col("label").alias("cluster"))
 
 
 # ------------------------------------------------------------------- C3 ---
 
+# The names an initialisation answers to.
 INIT_ALIASES = {
     "random": "random", "rand": "random",
     "kmeans_lda": "kmeans_lda", "kmeans+lda": "kmeans_lda", "kmeans.lda": "kmeans_lda",
@@ -109,7 +107,7 @@ def init_clusters(cm: CountMatrix, Q: int, K: int, init="random", seed: int = 0,
         return check_assign(out, cm.docs, Q, cm.N)
     name = INIT_ALIASES.get(str(init).lower())
     if name is None:
-        raise ValueError(f"'init' {init!r} not specified correctly")
+        raise ValueError(f"unknown initialisation {init!r}: use one of {sorted(INIT_ALIASES)}")
     if name == "random":
         return init_random(cm.docs, Q, seed, cm.N)
     from .topics import init_kmeans_lda
@@ -129,36 +127,46 @@ def init_beta_random(vocab: DataFrame, K: int, V: int, seed: int = 0) -> DataFra
 
 
 def check_beta(beta: np.ndarray, K: int, V: int, tol: float = 1e-12) -> np.ndarray:
-    """A user beta must be K x V, non-negative, rows summing to 1."""
+    """A user beta must be K x V, non-negative, rows summing to 1 (within
+    ``tol``, whatever the size)."""
     b = np.asarray(beta, dtype=np.float64)
-    if b.shape != (K, V) or (b < 0).any() or not np.allclose(b.sum(1), 1.0, rtol=0, atol=max(tol, 1e-12) * V):
-        raise ValueError("init.beta must be a KxV matrix which rows sums to 1.")
+    if b.shape != (K, V):
+        raise ValueError(f"the given topics have shape {b.shape}, not {(K, V)}")
+    off = np.abs(b.sum(1) - 1.0).max()
+    if (b < 0).any() or not off <= tol:
+        raise ValueError(f"the rows of the given topics must be probabilities (a row sum is off by {off:.3g})")
     return b
 
 
-def _label_map(df: DataFrame, col: str, max_labels: int):
-    """Distinct labels of ``col`` ranked 1.. in ascending order, as a map
-    Column.  The label count is checked first, so only a bounded list is
-    ever collected."""
-    labels = df.select(col).filter(F.col(col).isNotNull()).distinct()
-    n = labels.count()
-    if n > max_labels:
-        raise ValueError(f"{n} distinct labels in {col!r}; at most {max_labels} allowed")
-    order = sorted(r[0] for r in labels.collect())
-    return F.create_map(*[x for i, lab in enumerate(order) for x in (F.lit(lab), F.lit(i + 1))]), n
+def check_topics(topics, tol: float = 1e-12):
+    """C6/V4 for a long topic table: entries non-negative, each of the K rows
+    summing to 1 (a longer sum, added in any order, may be off by rounding)."""
+    rows = (topics.df.groupBy("topic").agg(F.sum("p").alias("s"), F.min("p").alias("m"))
+            .collect())                                    # K rows
+    bad = [r.topic for r in rows if not abs(r.s - 1.0) <= max(tol, topics.V * 2.3e-16) or r.m < 0]
+    if bad or len(rows) != topics.K:
+        raise ValueError(f"topics must be {topics.K} rows of probabilities; rows {sorted(bad)} are not")
+    return topics
+
+
+def _ranked(df: DataFrame, col: str):
+    """The rows of ``df`` whose ``col`` is not null with ``label``, the rank 1.. of
+    its value among the distinct ones in ascending order, and their number.
+    The ranks are a table that is joined: broadcast when few, shuffled else."""
+    df = df.filter(F.col(col).isNotNull())
+    labels, n = dense_index(df, col, "_rank", with_count=True)
+    labels = labels.select(F.col(col).alias("_value"), (F.col("_rank") + 1).cast("int").alias("label"))
+    return df.join(bounded_broadcast(labels, n), F.col(col) == F.col("_value")), n
 
 
-def assign_from_labels(df: DataFrame, label_col: str, id_col: str = "doc_id",
-                       max_labels: int = 100_000) -> DataFrame:
+def assign_from_labels(df: DataFrame, label_col: str, id_col: str = "doc_id") -> DataFrame:
     """A partition ``(doc_id, cluster)`` from a label column; labels ranked 1..G."""
-    m, _ = _label_map(df, label_col, max_labels)
-    return (df.filter(F.col(label_col).isNotNull())
-            .select(F.col(id_col).alias("doc_id"), m[F.col(label_col)].cast("int").alias("cluster")))
+    ranked, _ = _ranked(df.select(F.col(id_col).alias("_id"), label_col), label_col)
+    return ranked.select(F.col("_id").alias("doc_id"), F.col("label").alias("cluster"))
 
 
 def beta_from_groups(dtm: DataFrame, groups: DataFrame, group_col: str,
-                     vocab: DataFrame, V: int | None = None, smoothing: float = 0.0,
-                     max_groups: int = 100_000):
+                     vocab: DataFrame, V: int | None = None, smoothing: float = 0.0):
     """Topics from labelled rows.  Rows with the same label are summed and
     each label's counts are normalised; topics are the labels ranked 1..K in
     ascending order.  With ``smoothing > 0`` every vocabulary term gets
@@ -166,9 +174,8 @@ def beta_from_groups(dtm: DataFrame, groups: DataFrame, group_col: str,
     from .topics import Topics
 
     V = vocab.count() if V is None else V
-    m, K = _label_map(groups, group_col, max_groups)
-    a = (groups.filter(F.col(group_col).isNotNull())
-         .select("doc_id", m[F.col(group_col)].cast("int").alias("topic")))
+    ranked, K = _ranked(groups.select("doc_id", group_col), group_col)
+    a = ranked.select("doc_id", F.col("label").alias("topic"))
     counts = (dtm.join(a, "doc_id").groupBy("topic", "term_id")
               .agg(F.sum("cnt").cast("double").alias("cnt")))
     if smoothing <= 0:

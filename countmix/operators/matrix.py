@@ -42,14 +42,16 @@ def dense_index(df: DataFrame, col: str, out: str, with_count: bool = False):
         offsets = [0]
     off = F.element_at(F.array(*[F.lit(o) for o in offsets]).cast("array<bigint>"),
                        F.col("_pid") + 1)
-    res = vals.select((off + local).cast("int").alias(out), col)
+    res = vals.select((off + local).alias(out), col)
     return (res, acc) if with_count else res   # acc: exact number of values
 
 
 def vocabulary(terms: DataFrame, with_count: bool = False):
     """Vocabulary ``(term_id INT, term STRING)``, term_id = alphabetical rank
     (with ``with_count``: also V, known exactly from the ranking pass)."""
-    return dense_index(terms.select("term"), "term", "term_id", with_count)
+    out = dense_index(terms.select("term"), "term", "term_id", with_count)
+    ids = F.col("term_id").cast("int").alias("term_id")
+    return (out[0].select(ids, "term"), out[1]) if with_count else out.select(ids, "term")
 
 
 def index_terms(dtm: DataFrame, vocab: DataFrame, n_vocab: int | None = None) -> DataFrame:
@@ -93,9 +95,10 @@ def sparse_rows(dtm: DataFrame, docs: DataFrame | None = None) -> DataFrame:
 
 
 def term_totals(dtm: DataFrame) -> DataFrame:
-    """Column sums ``(term_id, total BIGINT, n_docs BIGINT)``."""
+    """Column sums ``(term_id, total BIGINT, n_docs BIGINT)`` of triplets that are
+    unique per (doc_id, term_id), as the count matrix gives them."""
     return dtm.groupBy("term_id").agg(F.sum("cnt").cast("bigint").alias("total"),
-                                      F.countDistinct("doc_id").alias("n_docs"))
+                                      F.count(F.lit(1)).alias("n_docs"))
 
 
 def dims(docs: DataFrame, vocab: DataFrame, dtm: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from ..sources import read_table
 SEED = 42
 TOP_N = 10
 ENTROPY_S = 2.0
-MIN_DOCS = 5            # vocabulary pruning by document frequency for the fits
+MIN_DOCS = 1            # every term with a non-zero total
 SMOOTHING = 0.5         # source-group topics are smoothed so no term has p = 0
 VE_ITERS = 3            # fixed gamma iterations of the VE oracle queries
 STOP_SHARE = 0.5        # stop list: terms in at least half of the documents
@@ -55,7 +55,7 @@ def _indexed(spark, sf):
 
 
 def _pruned(spark, sf):
-    """Count matrix of the documents over terms in >= MIN_DOCS documents."""
+    """Count matrix of the documents over all their terms."""
     docs, tdtm = _term_dtm(spark, sf)
     return docs, matrix.build_count_matrix(docs, tdtm, min_docs=MIN_DOCS)
 
@@ -251,8 +251,8 @@ def _batch_round(spark, sf):
                                      key=lambda r: r.cluster)]}
     E = fitmod.e_table(spark, gam)
     bdf = beta.df.withColumn("run", F.lit(0))
-    lnz = fitmod.cluster_log_z(bdf, E).unionByName(fitmod.bias_rows(spark, sizes, cm.N))
-    sc = fitmod.batch_scores(fitmod.with_bias(cm.dtm, cm.docs), lnz, len(gam) * (cm.V + 1))
+    lnz = fitmod.cluster_log_z(bdf, E)
+    sc = fitmod.batch_scores(cm.dtm, cm.docs, lnz, len(gam) * cm.V, sizes, cm.N)
     best = fitmod.best_clusters(sc)
     return docs, cm, assign, best
 
@@ -301,7 +301,7 @@ def ari_lang_source(spark, sf):
 def top_terms_by_role(spark, sf):
     """A1-A6, C7, F3 on the conversations: top terms of each speaker role."""
     conv = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
-    d = conv.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("doc_id"), "role", "text")
+    d = conv.select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "role", "text")
     tdtm = text.document_term_matrix(text.tokens(d))
     vocab, V = matrix.vocabulary(tdtm.select("term"), with_count=True)
     dtm = matrix.index_terms(tdtm, vocab, V)

@@ -52,14 +52,16 @@ def get_spark(master: str | None = None, app: str = "countmix",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint directory, creating a local one only
-    when the session has none configured (tests, single-machine runs)."""
+    """Return the reliable checkpoint directory; with none configured, a new
+    local one in local mode (tests, one machine) and an error elsewhere."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
+    if not conf_dir and not (sc.master or "").split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="countmix-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
