@@ -269,15 +269,27 @@ def fit_lda(rows: DataFrame, V: int, K, alpha: float = 1.0, nstart: int = 1,
     (``K`` may be a list: one topic count per start, for model selection).
 
     All restarts share one scan per EM iteration: the E-step ``mapInPandas``
-    solves every document under every active start's beta (broadcast, size
-    checked) and emits expected topic-term counts, pre-summed per task; a
-    ``groupBy(start, topic, term_id).sum`` finishes them.  The K x V M-step is
-    a row normalisation.  The best start by final bound is kept.
+    solves every document under every active start's beta and emits expected
+    topic-term counts per batch; a ``groupBy(start, topic, term_id).sum``
+    finishes them.  The K x V M-step is a row normalisation.  The best start by
+    final bound is kept.  Within the broadcast bound beta is driver state; beyond
+    it beta stays a table and blocks of documents join it
+    (:func:`_fit_lda_joined`): same starts, same updates.
+
+    ``beta0``: a K x V array or a :class:`Topics`.  With ``return_all`` the result
+    is ``{start: (array or Topics, bound)}``.
     """
     Ks = list(K) if isinstance(K, (list, tuple)) else [K] * max(nstart, 1)
     nstart = len(Ks)
+    if beta0 is not None:
+        Ks = [beta0.K if isinstance(beta0, Topics) else np.asarray(beta0).shape[0]]
     if sum(Ks) * V * 8 > LIMITS.max_broadcast_bytes:  # all starts' betas
-        raise MemoryError("starts x K x V exceeds the broadcast bound; prune the vocabulary")
+        final, trace = _fit_lda_joined(rows, V, Ks, alpha, em_max_iter, em_tol, var_max_iter,
+                                       var_tol, seed, beta0, n_partitions)
+        if return_all:
+            return final
+        best = max(sorted(final), key=lambda s: final[s][1])
+        return LdaResult(final[best][0], final[best][1], trace[best], best)
     spark = rows.sparkSession
     ship(spark)
     from pyspark import StorageLevel
@@ -285,8 +297,7 @@ def fit_lda(rows: DataFrame, V: int, K, alpha: float = 1.0, nstart: int = 1,
         rows = rows.repartition(n_partitions)
     rows = rows.select("terms", "cnts").persist(StorageLevel.MEMORY_AND_DISK)  # every EM iteration rescans
     if beta0 is not None:
-        betas = {0: np.asarray(beta0, dtype=float)}
-        Ks = [betas[0].shape[0]]
+        betas = {0: beta0.matrix() if isinstance(beta0, Topics) else np.asarray(beta0, dtype=float)}
     else:
         betas = {s: _random_beta(Ks[s], V, seed, s) for s in range(nstart)}
     active = set(betas)
@@ -353,10 +364,154 @@ def fit_lda(rows: DataFrame, V: int, K, alpha: float = 1.0, nstart: int = 1,
     return LdaResult(Topics.from_matrix(spark, mat), ll, trace[best], best)
 
 
+# ---------------------------------------- LDA with beta kept as a table ---
+
+def _start_columns(spark: SparkSession, V: int, Ks: list, seed: int) -> DataFrame:
+    """``(term_id, b ARRAY<DOUBLE>)``: the random starts of :func:`_random_beta`,
+    topics of all starts side by side, not yet normalised.  A task jumps to its
+    terms in each start's number stream."""
+    def fn(batches):
+        for pdf in batches:
+            ids = pdf["id"].to_numpy()
+            out = np.empty((len(ids), sum(Ks)))
+            cuts = np.flatnonzero(np.diff(ids) != 1) + 1
+            for run in np.split(np.arange(len(ids)), cuts):
+                col = 0
+                for s, K in enumerate(Ks):
+                    for k in range(K):
+                        bits = np.random.PCG64(np.random.SeedSequence([int(seed), s]))
+                        bits.advance(k * V + int(ids[run[0]]))
+                        out[run, col] = 1.0 / V + np.random.Generator(bits).random(len(run))
+                        col += 1
+            yield pd.DataFrame({"term_id": ids.astype("int32"), "b": list(out)})
+
+    return spark.range(V).mapInPandas(fn, "term_id int, b array<double>")
+
+
+def _topic_columns(topics: Topics) -> DataFrame:
+    """A long topic table as ``(term_id, b ARRAY<DOUBLE>)``."""
+    cols = [F.sum(F.when(F.col("topic") == k + 1, F.col("p")).otherwise(0.0)) for k in range(topics.K)]
+    return topics.df.groupBy("term_id").agg(F.array(*cols).alias("b"))
+
+
+def _normalised(cols: DataFrame, n: int) -> DataFrame:
+    """Each of the ``n`` topics divided by its sum (n numbers on the driver)."""
+    tot = cols.agg(*[F.sum(F.col("b")[i]).alias(f"t{i}") for i in range(n)]).first()
+    by = F.array(*[F.lit(float(t or 0.0) or 1.0) for t in tot])
+    return cols.select("term_id", F.zip_with("b", by, lambda x, t: x / t).alias("b"))
+
+
+def _blocks(rows: DataFrame, n_partitions: int | None, *cols: str):
+    """Sparse rows with a stable ``block``, and the distinct terms of each block
+    (bounded by the block's non-zeros); both checkpointed."""
+    n = n_partitions or rows.rdd.getNumPartitions()
+    rows = checkpoint(rows.repartition(n).select(F.spark_partition_id().alias("block"), "terms", "cnts", *cols))
+    terms = rows.select("block", F.explode("terms").alias("term_id")).distinct()
+    return rows, checkpoint(terms)
+
+
+def _local(docs: pd.DataFrame, beta: pd.DataFrame):
+    """A block's flat triplets in the block's own term numbers, and its beta."""
+    if len(beta):
+        beta = beta.sort_values("term_id")
+        ids, mat = beta["term_id"].to_numpy(), np.stack(beta["b"].to_numpy()).T
+    else:                                   # only empty documents
+        ids, mat = np.zeros(0, np.int64), np.zeros((1, 0))
+    lens = docs["terms"].map(len).to_numpy()
+    seg = np.repeat(np.arange(len(docs)), lens)
+    terms = np.concatenate(docs["terms"].to_numpy()).astype(np.int64) if lens.sum() else np.zeros(0, np.int64)
+    cnts = np.concatenate(docs["cnts"].to_numpy()).astype(np.float64) if lens.sum() else np.zeros(0)
+    at = np.searchsorted(ids, terms)
+    known = (at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == terms) if len(ids) else np.zeros(len(terms), bool)
+    return ids, mat, seg[known], at[known], cnts[known]   # a term of probability 0 everywhere is left out
+
+
+def _block_estep(lo: np.ndarray, alpha: float, var_max_iter: int, var_tol: float):
+    """E-step of one block under all starts (topics ``lo[i]:lo[i + 1]`` are start i):
+    the summed statistics per term, and the bounds as term -1."""
+    def estep(docs: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        single_thread_blas()
+        if not len(docs):
+            return pd.DataFrame(columns=["term_id", "ss"], dtype=object)
+        ids, mat, seg, at, cnts = _local(docs, b)
+        ss, elbo = np.zeros((len(ids), lo[-1])), []
+        for i in range(len(lo) - 1):
+            part = mat[lo[i]:lo[i + 1]] if len(ids) else np.zeros((lo[i + 1] - lo[i], 0))
+            _, el, _, (uniq, st) = ve_sparse(seg, at, cnts, len(docs), part, alpha, var_max_iter,
+                                             var_tol, with_stats=True)
+            ss[uniq, lo[i]:lo[i + 1]] = st.T
+            elbo.append(float(el.sum()))
+        return pd.DataFrame({"term_id": np.append(ids, -1).astype("int32"), "ss": [*ss, np.array(elbo)]})
+
+    return estep
+
+
+def _fit_lda_joined(rows, V, Ks, alpha, em_max_iter, em_tol, var_max_iter, var_tol, seed, beta0,
+                    n_partitions):
+    """D1 beyond the broadcast bound: beta is a table ``(term_id, b)``; each EM
+    iteration sends every block of documents the rows of its own terms, solves
+    the block, and sums the statistics by term.  Only topic totals and bounds
+    (starts x K numbers) reach the driver."""
+    spark = rows.sparkSession
+    ship(spark)
+    rows, block_terms = _blocks(rows, n_partitions)
+    start = _start_columns(spark, V, Ks, seed) if beta0 is None else \
+        _topic_columns(beta0 if isinstance(beta0, Topics) else Topics.from_matrix(spark, beta0))
+    beta = checkpoint(_normalised(checkpoint(start), sum(Ks)))
+    active = list(range(len(Ks)))
+    ll_prev, trace, final, it = {}, {s: [] for s in active}, {}, 0
+    while active:
+        sizes = [Ks[s] for s in active]
+        lo = np.concatenate([[0], np.cumsum(sizes)])
+
+        mine = block_terms.join(beta, "term_id")
+        mine = mine.toDF(*mine.columns)         # both sides come from one table
+        stats = checkpoint(rows.groupBy("block").cogroup(mine.groupBy("block"))
+                           .applyInPandas(_block_estep(lo, alpha, var_max_iter, var_tol),
+                                          "term_id int, ss array<double>"))
+        bounds = stats.where("term_id = -1").agg(*[F.sum(F.col("ss")[i]).alias(f"l{i}") for i in range(len(active))]).first()
+        going = []
+        for i, s in enumerate(active):
+            ll = float(bounds[i])
+            trace[s].append(ll)
+            prev = ll_prev.get(s)
+            if it + 1 >= em_max_iter or (prev is not None and abs((prev - ll) / prev) < em_tol):
+                long = beta.select("term_id", F.posexplode(F.slice("b", int(lo[i]) + 1, Ks[s])).alias("k", "p"))
+                long = long.where("p > 0").select((F.col("k") + 1).alias("topic"), "term_id", "p")
+                final[s] = (Topics.from_df(long, Ks[s], V), ll)
+            else:
+                going.append(i)
+                ll_prev[s] = ll
+        if going:
+            keep = [c for i in going for c in range(lo[i], lo[i + 1])]
+            summed = (stats.where("term_id >= 0").groupBy("term_id")
+                      .agg(F.array(*[F.sum(F.col("ss")[int(c)]) for c in keep]).alias("b")))
+            beta = checkpoint(_normalised(checkpoint(summed), len(keep)))
+        active = [active[i] for i in going]
+        it += 1
+    return final, trace
+
+
 def doc_gamma(rows: DataFrame, topics: Topics, alpha: float = 1.0, max_iter: int = 100,
               tol: float = 1e-6) -> DataFrame:
     """Per-document VE-step: ``(doc_id, gamma ARRAY<DOUBLE>, theta ARRAY<DOUBLE>)``."""
     ship(rows.sparkSession)
+    schema = "doc_id long, gamma array<double>, theta array<double>"
+    if not topics.fits_broadcast:   # each block of documents meets the rows of its own terms
+        blocks, terms = _blocks(rows, None, "doc_id")
+        K = topics.K
+
+        def solve_block(docs: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            single_thread_blas()
+            ids, mat, seg, at, cnts = _local(docs, b)
+            mat = mat if len(ids) else np.zeros((K, 0))
+            g, _, _ = ve_sparse(seg, at, cnts, len(docs), mat, alpha, max_iter, tol)
+            return pd.DataFrame({"doc_id": docs["doc_id"], "gamma": list(g),
+                                 "theta": list(g / g.sum(1, keepdims=True))})
+
+        mine = terms.join(_topic_columns(topics), "term_id")
+        mine = mine.toDF(*mine.columns)         # both sides come from one table
+        return blocks.groupBy("block").cogroup(mine.groupBy("block")).applyInPandas(solve_block, schema)
     bc = topics.broadcast()
 
     def solve(batches):
@@ -371,7 +526,7 @@ def doc_gamma(rows: DataFrame, topics: Topics, alpha: float = 1.0, max_iter: int
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(),
                                 "gamma": list(g), "theta": list(th)})
 
-    return rows.mapInPandas(solve, "doc_id long, gamma array<double>, theta array<double>")
+    return rows.mapInPandas(solve, schema)
 
 
 # ------------------------------------------------------------- C2 / C5 ---

@@ -122,3 +122,34 @@ def test_checkpoint_folder_must_be_set_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Session())
+
+
+def test_lda_beyond_the_broadcast_bound_is_the_same(spark, monkeypatch):
+    """The table path (beta never on the driver) repeats the array path."""
+    from countmix.config import Limits
+    docs, _ = planted_docs(spark)
+    cm = count_matrix_of(docs)
+    args = dict(alpha=1.0, em_max_iter=6, em_tol=1e-9, var_max_iter=200, var_tol=1e-10, seed=5, return_all=True, n_partitions=3)
+    want = topics.fit_lda(cm.rows(), cm.V, [2, 3], **args)
+    gamma = {r.doc_id: r.theta for r in topics.doc_gamma(cm.rows(), topics.Topics.from_matrix(spark, want[1][0]), 1.0, 500, 1e-10).collect()}
+    monkeypatch.setattr(topics, "LIMITS", Limits(max_broadcast_bytes=64))
+    got = topics.fit_lda(cm.rows(), cm.V, [2, 3], **args)
+    for s in want:
+        m = np.zeros_like(want[s][0])
+        for r in got[s][0].df.collect():
+            m[r.topic - 1, r.term_id] = r.p
+        assert np.allclose(m, want[s][0], atol=1e-8)
+        assert abs(got[s][1] - want[s][1]) < 1e-6 * abs(want[s][1])
+    same = {r.doc_id: r.theta for r in topics.doc_gamma(cm.rows(), got[1][0], 1.0, 500, 1e-10).collect()}
+    assert all(np.allclose(same[d], gamma[d], atol=1e-6) for d in gamma) and len(same) == len(gamma)
+
+
+def test_default_fit_runs_at_any_vocabulary(spark, monkeypatch):
+    from countmix.config import Limits
+    docs, truth = planted_docs(spark)
+    cm = count_matrix_of(docs)
+    controls = Controls(init=VemControl(em_max_iter=4, var_max_iter=50), loop=VemControl(estimate_beta=False, var_max_iter=60, var_tol=1e-6), beta_starts=1)
+    for module in (topics, fitmod):
+        monkeypatch.setattr(module, "LIMITS", Limits(max_broadcast_bytes=64))
+    res = fitmod.fit(cm, 3, 3, truth, controls=controls, max_epochs=1, seed=1)
+    assert res.assign.count() == cm.N and np.isfinite(res.bound)
