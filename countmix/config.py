@@ -16,6 +16,11 @@ class Limits:
     max_broadcast_rows: int = 2_000_000
     # Numpy state shipped to executors (beta K x V, meta Q x V) in bytes.
     max_broadcast_bytes: int = 512 * 1024 * 1024
+    # Topic cells (starts x K x V) whose sums an EM iteration brings to the
+    # driver (about 20 bytes each, within Spark's default result size).
+    max_driver_cells: int = 16_000_000
+    # Scores worked out at once by one task (runs x clusters x non-zeros).
+    score_cells: int = 16_000_000
     # Cached matrix partitions are sized to about this many non-zeros
     # (~100 MB of sparse rows), never fewer partitions than cores.
     nnz_per_partition: int = 8_000_000

@@ -272,8 +272,8 @@ def fit_lda(rows: DataFrame, V: int, K, alpha: float = 1.0, nstart: int = 1,
     solves every document under every active start's beta and emits expected
     topic-term counts per batch; a ``groupBy(start, topic, term_id).sum``
     finishes them.  The K x V M-step is a row normalisation.  The best start by
-    final bound is kept.  Within the broadcast bound beta is driver state; beyond
-    it beta stays a table and blocks of documents join it
+    final bound is kept.  Within the bounds of ``LIMITS`` beta is driver state; beyond
+    them beta stays a table and blocks of documents join it
     (:func:`_fit_lda_joined`): same starts, same updates.
 
     ``beta0``: a K x V array or a :class:`Topics`.  With ``return_all`` the result
@@ -283,7 +283,7 @@ def fit_lda(rows: DataFrame, V: int, K, alpha: float = 1.0, nstart: int = 1,
     nstart = len(Ks)
     if beta0 is not None:
         Ks = [beta0.K if isinstance(beta0, Topics) else np.asarray(beta0).shape[0]]
-    if sum(Ks) * V * 8 > LIMITS.max_broadcast_bytes:  # all starts' betas
+    if sum(Ks) * V * 8 > LIMITS.max_broadcast_bytes or sum(Ks) * V > LIMITS.max_driver_cells:
         final, trace = _fit_lda_joined(rows, V, Ks, alpha, em_max_iter, em_tol, var_max_iter,
                                        var_tol, seed, beta0, n_partitions)
         if return_all:

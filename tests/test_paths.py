@@ -153,3 +153,18 @@ def test_default_fit_runs_at_any_vocabulary(spark, monkeypatch):
         monkeypatch.setattr(module, "LIMITS", Limits(max_broadcast_bytes=64))
     res = fitmod.fit(cm, 3, 3, truth, controls=controls, max_epochs=1, seed=1)
     assert res.assign.count() == cm.N and np.isfinite(res.bound)
+
+
+def test_scores_in_small_runs_are_the_same(spark, monkeypatch):
+    from countmix.config import Limits
+    cm, truth, beta = zero_state(spark)
+    rows = matrix.sparse_rows(cm.dtm, cm.docs).withColumn("cur", F.create_map(F.lit(0), F.lit(1)))
+    L = np.log(np.random.default_rng(0).random((3, cm.V)))
+
+    def scores():
+        got = fitmod.best_clusters_numpy(rows, L, np.zeros(3), np.zeros(3, int), np.array([1, 2, 3])).collect()
+        return sorted((r.doc_id, r.cluster, round(r.score, 9)) for r in got)
+
+    want = scores()
+    monkeypatch.setattr(fitmod, "LIMITS", Limits(score_cells=10))
+    assert scores() == want
