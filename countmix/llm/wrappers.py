@@ -314,7 +314,7 @@ def infer(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
     def whole(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         root = merge_all(left["stream"]) if len(left) else ["", [], False]
-        main = main_slots(list(right[["path", "size", "linked", "n", "constant"]].itertuples(index=False, name=None)))
+        main = main_slots(list(right[["path", "size", "linked", "n", "constant"]].itertuples(index=False, name=None)) if len(right) else [])
         return pd.DataFrame({"host": [key[0]], "wrapper": [expression(root)], "main": [main]})
 
     return parts.groupBy("host").cogroup(slots.groupBy("host")).applyInPandas(whole, "host string, wrapper string, main array<string>")
