@@ -8,16 +8,20 @@ in turn, a group that only one side has becomes optional ``( )?``, and text
 becomes a slot ``#``.  The result is the host's wrapper, a regular expression
 without unions.
 
-Each text slot (a path of groups) is judged over all pages of its host: the
-main container is an article or main element, or else the deepest group that
-holds most of the unlinked text; a slot inside it is main text unless a group
-around it is a menu, header, footer, sidebar, notice, advert, form, script,
-style or reader comments, or its text is the same on all of many pages that
-otherwise differ.  A page's main text is what its main slots hold.
+Every page is then matched against its host's wrapper, so a slot is a position
+in the wrapper: two groups of one key before and after another group are two
+slots.  Each slot is judged over all pages of its host: the main container is an
+article or main element, or else the deepest group that holds most of the
+unlinked text; a slot inside it is main text unless a group around it is a menu,
+header, footer, sidebar, notice, advert, form, script, style or reader comments,
+or its text is the same on all of many pages that otherwise differ.  A block of
+a repeated slot that stands on all of those pages is template text too.  A
+page's main text is what its main slots hold.
 
 Streams are folded per page and grouped by (host, stream) first, so a host with
 a third of all pages aligns only its distinct streams; those are merged in
-salted parts and the parts per host.
+salted parts and the parts per host.  What the slots hold is added up per task,
+then per (host, slot).
 
 Edge cases: null or empty html gives empty text; a null url counts as the host
 "" ; broken html is read to its end, an open comment, script or style takes the
@@ -29,9 +33,12 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +60,8 @@ OFF_WORDS = re.compile(r"^(ads?|advert\w*|adsense|adslot|banner|promo\w*|sponsor
 #: A text can be template text if it is the same on at least this many pages.
 CONSTANT_PAGES = 20
 SALTS = 32
+#: Slots and texts that a task holds before it passes its sums on.
+HELD = 200_000
 
 
 def group_key(tag: str, attrs: str) -> str:
@@ -83,10 +92,18 @@ def read_page(page: str):
     """The texts of a page in order: ``(path, block, linked, text)``, and its
     folded token stream.  ``path`` joins the open groups by "/"; texts with one
     ``block`` number stand in one block."""
+    texts, _, root = parse(page)
+    fold(root)
+    return texts, root
+
+
+def parse(page: str):
+    """As ``read_page``, with the group of each text and the stream not folded."""
     stack: list[tuple[str, str]] = []
     root = ["", [], False]  # key, children, has text
     nodes = [root]
     texts: list[tuple[str, int, bool, str]] = []
+    owners: list[list] = []
     block = at = 0
     path, linked = "", 0
     raw = None
@@ -96,6 +113,7 @@ def read_page(page: str):
             nodes[-1][2] = True
         if s:
             texts.append((path, block, linked > 0, s))
+            owners.append(nodes[-1])
 
     def pop_to(n: int) -> None:
         nonlocal path, block, linked
@@ -140,6 +158,7 @@ def read_page(page: str):
                 block += 1
             elif tag in ("br", "wbr") and tag == "br":
                 texts.append((path, block, linked > 0, " "))
+                owners.append(nodes[-1])
             continue
         if tag in CLOSES_P:
             for k in range(len(stack) - 1, -1, -1):
@@ -167,8 +186,7 @@ def read_page(page: str):
         linked += tag == "a"
         if tag in RAW:
             raw = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I)
-    fold(root)
-    return texts, root
+    return texts, owners, root
 
 
 # A group is [key, children, has text]; a child is [group, flags].
@@ -249,78 +267,276 @@ def block_texts(texts, keep) -> str:
     return "\n\n".join(b for b in done if b)
 
 
-def main_slots(slots: list[tuple]) -> list[str]:
-    """The main ones of a host's slots ``(path, size, linked, pages, constant)``."""
-    def groups(path):
-        return path.split("/")[1:]
+# --- pages against their host's wrapper
+
+
+def number(root: list) -> tuple[list[str], list[int]]:
+    """Numbers the groups of a wrapper in order (their fourth place); returns the
+    key and the parent's number of each."""
+    keys, parents = [], []
 
-    good = [s for s in slots if not any(map(off, groups(s[0])))]
-    most, size = max((s[3] for s in good), default=0), sum(s[1] for s in good)
-    if most >= CONSTANT_PAGES and sum(s[1] for s in good if not s[4]) > size / 2:  # the pages differ
-        good = [s for s in good if not (s[4] and s[3] == most)]
-    marked = [s for s in good if any(k.split(".")[0].split("#")[0].split("@")[0] in ("article", "main") or "@main" in k or "@article" in k for k in groups(s[0]))]
-    if sum(s[1] - s[2] for s in marked) > 0:
-        return sorted(s[0] for s in marked)
+    def go(group, parent):
+        group.append(len(keys))
+        keys.append(group[0])
+        parents.append(parent)
+        for child, _ in group[1]:
+            go(child, group[3])
+
+    go(root, -1)
+    return keys, parents
+
+
+def runs_of(node: list) -> list[tuple[str, list]]:
+    return [(k, [c[0] for c in run]) for k, run in groupby(node[1], lambda c: c[0][0])]
+
+
+def places(runs: list[tuple[str, list]], children: list, memo: dict) -> list[int]:
+    """Which children of a wrapper's group the runs of a page's groups are, in
+    order (-1: none): so that as many groups as possible, those inside too, have
+    a place, and then the fewest that are not optional are left out."""
+    n, m = len(runs), len(children)
+    keys = [c[0][0] for c in children]
+    if [k for k, _ in runs] == keys:
+        return list(range(n))
+
+    def gain(i, j):
+        key, run = runs[i]
+        inside = 1 if keys.count(key) == 1 else sum(fitting(node, children[j][0], memo) for node in run)
+        return (m + 1) * inside + (not children[j][1] & OPTIONAL)
+
+    gains = {(i, j): gain(i, j) for i in range(n) for j in range(m) if runs[i][0] == keys[j]}
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + gains[i, j] if (i, j) in gains else 0)
+    out, i, j = [-1] * n, 0, 0
+    while i < n and j < m:
+        if (i, j) in gains and best[i][j] == best[i + 1][j + 1] + gains[i, j]:
+            out[i] = j
+            i, j = i + 1, j + 1
+        elif best[i][j] == best[i][j + 1]:
+            j += 1
+        else:
+            i += 1
+    return out
+
+
+def fitting(node: list, group: list, memo: dict) -> int:
+    """How many groups have a place if ``node`` stands for ``group``."""
+    key = id(node), group[3]
+    if key not in memo:
+        runs = runs_of(node)
+        memo[key] = 1 + sum(fitting(child, group[1][j][0], memo) for (_, run), j in zip(runs, places(runs, group[1], memo)) if j >= 0 for child in run)
+    return memo[key]
+
+
+def place(node: list, group: list, out: dict[int, int], memo: dict) -> None:
+    """The number of the wrapper's group of every group below ``node``, by
+    ``id``; every page that the wrapper is made of has a place for all."""
+    out[id(node)] = group[3]
+    runs = runs_of(node)
+    for (_, run), j in zip(runs, places(runs, group[1], memo)):
+        if j >= 0:
+            for child in run:
+                place(child, group[1][j][0], out, memo)
+
+
+def placed(page: str, root: list) -> tuple[list[tuple[int, int, bool, str]], dict[int, tuple[int, str]]]:
+    """The texts of a page with the number of their slot for a path, and of each
+    block the slot it begins in and its whole text."""
+    texts, owners, tree = parse(page)
+    of: dict[int, int] = {}
+    place(tree, root, of, {})
+    out = [(of.get(id(o), -1), *t[1:]) for o, t in zip(owners, texts)]
+    first: dict[int, int] = {}
+    held: dict[int, list[str]] = {}
+    for slot, block, _, s in out:
+        held.setdefault(block, []).append(s)
+        if s.strip():
+            first.setdefault(block, slot)
+    return out, {b: (slot, " ".join(html_lib.unescape("".join(held[b])).split())) for b, slot in first.items()}
+
+
+@dataclass
+class Slot:
+    size: int  # characters on all pages
+    linked: int
+    pages: int
+    constant: bool  # one text on all its pages
+    same: dict[int, int]  # hash and size of the blocks that begin in it on all its pages
+
+
+def main_slots(slots: dict[int, Slot], keys: list[str], parents: list[int]) -> dict[int, frozenset[int]]:
+    """The main ones of a host's slots, each with the hashes of its blocks that are
+    template text."""
+    def chain(n):
+        out = []
+        while n >= 0:
+            out.append(n)
+            n = parents[n]
+        return out[::-1]
+
+    chains = {n: chain(n) for n in slots if n >= 0}
+    good = [n for n, c in chains.items() if not any(off(keys[g]) for g in c[1:])]
+    most, size = max((slots[n].pages for n in good), default=0), sum(slots[n].size for n in good)
+    everywhere = [n for n in good if slots[n].pages == most]
+    alike = sum(slots[n].size if slots[n].constant else min(slots[n].size, slots[n].pages * sum(slots[n].same.values())) for n in good)
+    template: dict[int, frozenset[int]] = {}
+    if most >= CONSTANT_PAGES and alike < size / 2:  # the pages differ
+        good = [n for n in good if not (slots[n].constant and slots[n].pages == most)]
+        template = {n: frozenset(slots[n].same) for n in everywhere}
+
+    def chosen(some):
+        return {n: template.get(n, frozenset()) for n in some}
+
+    marked = [n for n in good if any(k.split(".")[0].split("#")[0].split("@")[0] in ("article", "main") or "@main" in k or "@article" in k for k in (keys[g] for g in chains[n][1:]))]
+    if sum(slots[n].size - slots[n].linked for n in marked) > 0:
+        return chosen(marked)
     # no such element: go down while one child holds most of the text
-    at = ""
+    at = depth = 0
     while True:
-        weight: dict[str, int] = {}
-        for path, size, linked, *_ in good:
-            if path.startswith(at + "/"):
-                child = at + "/" + path[len(at) + 1:].split("/")[0]
-                weight[child] = weight.get(child, 0) + max(0, size - 2 * linked)
-        total = sum(weight.values()) + sum(max(0, s[1] - 2 * s[2]) for s in good if s[0] == at)
-        top = max(weight, key=lambda c: (weight[c], c), default=None)
-        if top is None or not total or weight[top] < 0.7 * total or re.split(r"[.#@]", top.rsplit("/", 1)[-1])[0] in ("p", "pre", "blockquote", "ul", "ol", "table"):
+        weight: dict[int, int] = {}
+        total = 0
+        for n in good:
+            c = chains[n]
+            if len(c) > depth and c[depth] == at:
+                w = max(0, slots[n].size - 2 * slots[n].linked)
+                total += w
+                if len(c) > depth + 1:
+                    weight[c[depth + 1]] = weight.get(c[depth + 1], 0) + w
+        top = max(weight, key=lambda g: (weight[g], g), default=None)
+        if top is None or not total or weight[top] < 0.7 * total or re.split(r"[.#@]", keys[top])[0] in ("p", "pre", "blockquote", "ul", "ol", "table"):
             break
-        at = top
-    return sorted(s[0] for s in good if s[0] == at or s[0].startswith(at + "/"))
+        at, depth = top, depth + 1
+    return chosen(n for n in good if len(chains[n]) > depth and chains[n][depth] == at)
+
+
+class Wrapper:
+    """A host's wrapper and what its slots hold, as it travels."""
+
+    def __init__(self, value: bytes):
+        self.root, slots = json.loads(zstandard.decompress(value))
+        self.keys, self.parents = number(self.root)
+        self.slots = {n: Slot(size, linked, pages, constant, dict(same)) for n, size, linked, pages, constant, same in slots}
+        self._main: dict[int, frozenset[int]] | None = None
+
+    @staticmethod
+    def shut(root: list, slots=()) -> bytes:
+        return zstandard.compress(json.dumps([root, list(slots)], separators=(",", ":")).encode(), 9)
+
+    def main(self) -> dict[int, frozenset[int]]:
+        if self._main is None:
+            self._main = main_slots(self.slots, self.keys, self.parents)
+        return self._main
+
+    def text(self, page: str) -> str:
+        """Main text of a page."""
+        texts, blocks = placed(page, self.root)
+        main = self.main()
+        dropped = {b for b, (slot, s) in blocks.items() if main.get(slot) and hash_text([s]) in main[slot]}
+        return block_texts([t for t in texts if t[1] not in dropped], main.__contains__)
+
+
+class Opened:
+    """The wrappers of the hosts a task meets; the last ones stay open."""
+
+    def __init__(self):
+        self.held: dict[bytes, Wrapper] = {}
+
+    def __call__(self, value: bytes) -> Wrapper:
+        if value not in self.held:
+            if len(self.held) >= 256:
+                self.held.clear()
+            self.held[value] = Wrapper(value)
+        return self.held[value]
 
 
 def host_of(url: str) -> str:
     return f"lower(regexp_extract({url}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1))"
 
 
-def infer(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per host: ``host, wrapper`` (text), ``main`` (its main slots)."""
-    rows = _pages(pages, id_col, url_col, html_col)
-
+def aligned(rows: DataFrame) -> DataFrame:
+    """Per host: ``host, plan`` (its wrapper, as it travels)."""
     def streams(batches):
         for b in batches:
-            out = []
-            for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-                texts, root = read_page(page)
-                by: dict[str, list] = {}
-                for path, _, linked, s in texts:
-                    if s.strip():
-                        v = by.setdefault(path, [0, 0, []])
-                        v[0] += len(s)
-                        v[1] += len(s) if linked else 0
-                        v[2].append(" ".join(s.split()))
-                slots = [{"path": p, "size": v[0], "linked": v[1], "hash": hash_text(v[2])} for p, v in by.items()]
-                out.append({"host": host, "stream": json.dumps(root, separators=(",", ":"), ensure_ascii=False), "slots": slots})
-            yield pa.RecordBatch.from_pylist(out, schema=STREAMS)
+            out = {(host, json.dumps(read_page(page)[1], separators=(",", ":"), ensure_ascii=False)) for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist())}
+            yield pa.RecordBatch.from_pylist([{"host": h, "stream": s} for h, s in sorted(out)], schema=STREAMS)
 
-    seen = saved(rows.mapInArrow(streams, "host string, stream string, slots array<struct<path: string, size: long, linked: long, hash: long>>"), "streams")
-    distinct = seen.groupBy("host", "stream").agg(F.count("*").alias("pages"))
-    distinct = distinct.withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(SALTS)))
+    distinct = rows.select("host", "html").mapInArrow(streams, "host string, stream string").distinct().withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(SALTS)))
 
     def part(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "stream": [json.dumps(merge_all(pdf["stream"]), separators=(",", ":"), ensure_ascii=False)]})
 
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "plan": [Wrapper.shut(merge_all(pdf["stream"]))]})
+
     parts = distinct.groupBy("host", "salt").applyInPandas(part, "host string, stream string")
-    slots = (seen.select("host", F.explode("slots").alias("s"))
-             .groupBy("host", "s.path").agg(F.sum("s.size").alias("size"), F.sum("s.linked").alias("linked"), F.count("*").alias("n"), (F.min("s.hash") == F.max("s.hash")).alias("constant")))
+    return parts.groupBy("host").applyInPandas(whole, "host string, plan binary")
+
+
+def held(rows: DataFrame) -> DataFrame:
+    """What the slots of every host hold (``rows`` with their host's ``plan``):
+    ``host, slot, size, linked, pages, constant, same``."""
+    def sums(batches):
+        opened, by = Opened(), {}
+
+        def passed():
+            out = [{"host": h, "slot": n, "size": v[0], "linked": v[1], "pages": v[2], "low": v[3], "high": v[4], "same": [{"hash": k, "size": z} for k, z in sorted(v[5].items())]} for (h, n), v in by.items()]
+            by.clear()
+            return pa.RecordBatch.from_pylist(out, schema=SLOTS)
+
+        n = 0
+        for b in batches:
+            for host, page, plan in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("plan").to_pylist()):
+                if not page:
+                    continue
+                texts, blocks = placed(page, opened(plan).root)
+                own: dict[int, list] = {}
+                for slot, _, linked, s in texts:
+                    if s.strip():
+                        v = own.setdefault(slot, [0, 0, [], {}])
+                        v[0] += len(s)
+                        v[1] += len(s) if linked else 0
+                        v[2].append(" ".join(s.split()))
+                for slot, s in blocks.values():
+                    own[slot][3][hash_text([s])] = len(s)
+                for slot, (size, linked, parts, begun) in own.items():
+                    h = hash_text(parts)
+                    v = by.get((host, slot))
+                    if v is None:
+                        by[host, slot] = [size, linked, 1, h, h, begun]
+                        n += 1 + len(begun)
+                    else:  # a block on all pages is on all pages of every task
+                        v[0], v[1], v[2], v[3], v[4] = v[0] + size, v[1] + linked, v[2] + 1, min(v[3], h), max(v[4], h)
+                        v[5] = {k: z for k, z in v[5].items() if k in begun}
+                if n >= HELD:
+                    yield passed()
+                    n = 0
+        yield passed()
+
+    some = rows.select("host", "html", "plan").mapInArrow(sums, "host string, slot int, size long, linked long, pages long, low long, high long, same array<struct<hash: long, size: long>>")
+    every = F.collect_list("same")
+    return some.groupBy("host", "slot").agg(F.sum("size").alias("size"), F.sum("linked").alias("linked"), F.sum("pages").alias("pages"), (F.min("low") == F.max("high")).alias("constant"), F.aggregate(every, F.element_at(every, 1), F.array_intersect).alias("same"))
+
+
+def infer(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Per host: ``host, wrapper`` (text), ``plan`` (the wrapper and what its slots
+    hold, as it travels)."""
+    rows = _pages(pages, id_col, url_col, html_col)
+    plans = saved(aligned(rows), "wrappers")
+    slots = held(rows.join(plans, "host"))
 
     def whole(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        root = merge_all(left["stream"]) if len(left) else ["", [], False]
-        main = main_slots(list(right[["path", "size", "linked", "n", "constant"]].itertuples(index=False, name=None)) if len(right) else [])
-        return pd.DataFrame({"host": [key[0]], "wrapper": [expression(root)], "main": [main]})
+        root = json.loads(zstandard.decompress(left["plan"].iloc[0]))[0]
+        own = sorted((r.slot, r.size, r.linked, r.pages, bool(r.constant), [(x["hash"], x["size"]) for x in r.same]) for r in right.itertuples(index=False)) if len(right) else []
+        own = [[int(x) for x in r[:4]] + [r[4], [(int(h), int(z)) for h, z in r[5]]] for r in own]
+        return pd.DataFrame({"host": [key[0]], "wrapper": [expression(root)], "plan": [Wrapper.shut(root, own)]})
 
-    return parts.groupBy("host").cogroup(slots.groupBy("host")).applyInPandas(whole, "host string, wrapper string, main array<string>")
+    return plans.groupBy("host").cogroup(slots.groupBy("host")).applyInPandas(whole, "host string, wrapper string, plan binary")
 
 
-STREAMS = pa.schema([("host", pa.string()), ("stream", pa.string()), ("slots", pa.list_(pa.struct([("path", pa.string()), ("size", pa.int64()), ("linked", pa.int64()), ("hash", pa.int64())])))])
+STREAMS = pa.schema([("host", pa.string()), ("stream", pa.string())])
+SLOTS = pa.schema([("host", pa.string()), ("slot", pa.int32()), *[(c, pa.int64()) for c in ("size", "linked", "pages", "low", "high")], ("same", pa.list_(pa.struct([("hash", pa.int64()), ("size", pa.int64())])))])
 
 
 def hash_text(parts: list[str]) -> int:
@@ -336,18 +552,14 @@ def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars, host`` of every page."""
-    wrappers = saved(infer(pages, id_col, url_col, html_col), "wrappers").select("host", "main")
+    wrappers = saved(infer(pages, id_col, url_col, html_col), "wrappers").select("host", "plan")
     rows = _pages(pages, id_col, url_col, html_col).join(wrappers, "host", "left")
     id_type = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches):
+        opened = Opened()
         for b in batches:
-            out = []
-            for page, main in zip(b.column("html").to_pylist(), b.column("main").to_pylist()):
-                if not page:
-                    out.append("")
-                    continue
-                out.append(block_texts(read_page(page)[0], set(main or ()).__contains__))
+            out = [opened(plan).text(page) if page else "" for page, plan in zip(b.column("html").to_pylist(), b.column("plan").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64()), b.column("host")], ["page_id", "url", "text", "n_chars", "host"])
 
-    return rows.select("page_id", "url", "html", "host", "main").mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars long, host string")
+    return rows.select("page_id", "url", "html", "host", "plan").mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars long, host string")

@@ -49,6 +49,35 @@ def test_without_article_the_densest_group_is_main(spark):
         assert r.text == f"Head {r.page_id}\n\n{words} {r.page_id} next\n\nSee link {r.page_id}."
 
 
+def test_position_in_the_wrapper_decides(spark):
+    """A paragraph without a class that is the same on all pages is template text,
+    apart from the text by another group or beside it; a text on some pages is not."""
+    rows, want, words = [], {}, "goes on as a longer text that no other page has"
+    for i in range(40):
+        often = "<h2>Sources</h2>" if i % 2 else ""
+        html = f"<body><article><p>Read more on our site.</p><h1>Head {i}</h1><p>Please subscribe to us.</p><p>Story {i} {words}.</p><p>And on {i} {words}.</p>{often}<ul><li>one {i}</li></ul><p>All rights kept.</p></article></body>"
+        rows.append((i, f"http://news.example.org/{i}", html))
+        want[i] = "\n\n".join([f"Head {i}", f"Story {i} {words}.", f"And on {i} {words}."] + ["Sources"] * (i % 2) + [f"one {i}"])
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
+def test_every_page_has_a_place_in_its_wrapper():
+    rnd = random.Random(3)
+
+    def tree(depth):
+        tags = [rnd.choice(["div", "p", "b", "ul"]) for _ in range(rnd.randrange(0, 5))] if depth else []
+        return "t" + "".join(f"<span><{k}>{tree(depth - 1)}</{k}></span>" if rnd.random() < 0.2 else f"<{k}>{tree(depth - 1)}</{k}>" for k in tags)
+
+    for _ in range(60):
+        pages = [tree(3) for _ in range(8)]
+        root = wrappers.merge_all(json.dumps(wrappers.read_page(p)[1]) for p in pages)
+        wrappers.number(root)
+        for p in pages:
+            texts, _ = wrappers.placed(p, root)
+            assert texts and all(t[0] >= 0 for t in texts)
+
+
 @pytest.mark.parametrize("bad", ["<", "<!-- x", "<script>abc", "</p></div>x", "<p>a<p>b</b>c", "<a href='>'>x</a>", "<div " + "a" * 5000, "<" * 3000, '<p a="' * 2000, "&#x41;&nbsp;&#0;", "<ul><li>a<li>b<table><tr><td>c<tr><td>d</table>"])
 def test_broken_html_is_read_to_its_end(bad):
     texts, root = wrappers.read_page(bad)
