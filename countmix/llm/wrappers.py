@@ -10,13 +10,15 @@ without unions.
 
 Every page is then matched against its host's wrapper, so a slot is a position
 in the wrapper: two groups of one key before and after another group are two
-slots.  Each slot is judged over all pages of its host: the main container is an
-article or main element, or else the deepest group that holds most of the
-unlinked text; a slot inside it is main text unless a group around it is a menu,
-header, footer, sidebar, notice, advert, form, script, style or reader comments,
-or its text is the same on all of many pages that otherwise differ.  A block of
-a repeated slot that stands on all of those pages is template text too.  A
-page's main text is what its main slots hold.
+slots.  Pages with the same slots are of one template, and each template of a
+host has its own main slots: its main container is an article or main element,
+or else the deepest of its groups that holds most of the unlinked text, each slot
+weighed by what it holds on all the host's pages that have it; a slot inside is
+main text unless a group around it is a menu, header, footer, sidebar, notice,
+advert, form, script, style or reader comments, or its text is the same on all
+of many pages that have the container and otherwise differ.  A block of a
+repeated slot that stands on all of those pages is template text too.  A page's
+main text is what its main slots hold.
 
 Streams are folded per page and grouped by (host, stream) first, so a host with
 a third of all pages aligns only its distinct streams; those are merged in
@@ -367,8 +369,8 @@ class Slot:
 
 
 def main_slots(slots: dict[int, Slot], keys: list[str], parents: list[int]) -> dict[int, frozenset[int]]:
-    """The main ones of a host's slots, each with the hashes of its blocks that are
-    template text."""
+    """The main ones of a template's slots, each with the hashes of its blocks that
+    are template text.  A slot weighs what it holds on a page that has it."""
     def chain(n):
         out = []
         while n >= 0:
@@ -378,16 +380,23 @@ def main_slots(slots: dict[int, Slot], keys: list[str], parents: list[int]) -> d
 
     chains = {n: chain(n) for n in slots if n >= 0}
     good = [n for n, c in chains.items() if not any(off(keys[g]) for g in c[1:])]
-    most, size = max((slots[n].pages for n in good), default=0), sum(slots[n].size for n in good)
-    everywhere = [n for n in good if slots[n].pages == most]
-    alike = sum(slots[n].size if slots[n].constant else min(slots[n].size, slots[n].pages * sum(slots[n].same.values())) for n in good)
-    template: dict[int, frozenset[int]] = {}
-    if most >= CONSTANT_PAGES and alike < size / 2:  # the pages differ
-        good = [n for n in good if not (slots[n].constant and slots[n].pages == most)]
-        template = {n: frozenset(slots[n].same) for n in everywhere}
+    mean = {n: slots[n].size / slots[n].pages for n in good}
+    fixed = {n: mean[n] if slots[n].constant else min(mean[n], sum(slots[n].same.values())) if slots[n].pages >= CONSTANT_PAGES else 0.0 for n in good}
+    differ = max((slots[n].pages for n in good), default=0) >= CONSTANT_PAGES and sum(fixed.values()) < sum(mean.values()) / 2
+
+    def own(n):
+        """Unlinked text that is not the same on all pages."""
+        if differ and slots[n].constant and slots[n].pages >= CONSTANT_PAGES:
+            return 0.0
+        return max(0.0, mean[n] - 2 * slots[n].linked / slots[n].pages - (fixed[n] if differ else 0.0))
 
     def chosen(some):
-        return {n: template.get(n, frozenset()) for n in some}
+        """Without what is the same on all pages that have the container."""
+        some = list(some)
+        most = max((slots[n].pages for n in some), default=0)
+        if not differ or most < CONSTANT_PAGES:
+            return {n: frozenset() for n in some}
+        return {n: frozenset(slots[n].same) if slots[n].pages == most else frozenset() for n in some if not (slots[n].constant and slots[n].pages == most)}
 
     marked = [n for n in good if any(k.split(".")[0].split("#")[0].split("@")[0] in ("article", "main") or "@main" in k or "@article" in k for k in (keys[g] for g in chains[n][1:]))]
     if sum(slots[n].size - slots[n].linked for n in marked) > 0:
@@ -395,15 +404,15 @@ def main_slots(slots: dict[int, Slot], keys: list[str], parents: list[int]) -> d
     # no such element: go down while one child holds most of the text
     at = depth = 0
     while True:
-        weight: dict[int, int] = {}
-        total = 0
+        weight: dict[int, float] = {}
+        total = 0.0
         for n in good:
             c = chains[n]
             if len(c) > depth and c[depth] == at:
-                w = max(0, slots[n].size - 2 * slots[n].linked)
+                w = own(n)
                 total += w
                 if len(c) > depth + 1:
-                    weight[c[depth + 1]] = weight.get(c[depth + 1], 0) + w
+                    weight[c[depth + 1]] = weight.get(c[depth + 1], 0.0) + w
         top = max(weight, key=lambda g: (weight[g], g), default=None)
         if top is None or not total or weight[top] < 0.7 * total or re.split(r"[.#@]", keys[top])[0] in ("p", "pre", "blockquote", "ul", "ol", "table"):
             break
@@ -418,21 +427,24 @@ class Wrapper:
         self.root, slots = json.loads(zstandard.decompress(value))
         self.keys, self.parents = number(self.root)
         self.slots = {n: Slot(size, linked, pages, constant, dict(same)) for n, size, linked, pages, constant, same in slots}
-        self._main: dict[int, frozenset[int]] | None = None
+        self._main: dict[frozenset[int], dict[int, frozenset[int]]] = {}
 
     @staticmethod
     def shut(root: list, slots=()) -> bytes:
         return zstandard.compress(json.dumps([root, list(slots)], separators=(",", ":")).encode(), 9)
 
-    def main(self) -> dict[int, frozenset[int]]:
-        if self._main is None:
-            self._main = main_slots(self.slots, self.keys, self.parents)
-        return self._main
+    def main(self, own: frozenset[int]) -> dict[int, frozenset[int]]:
+        """Main slots of the pages that have the slots ``own``."""
+        if own not in self._main:
+            if len(self._main) >= 4096:
+                self._main.clear()
+            self._main[own] = main_slots({n: self.slots[n] for n in own if n in self.slots}, self.keys, self.parents)
+        return self._main[own]
 
     def text(self, page: str) -> str:
         """Main text of a page."""
         texts, blocks = placed(page, self.root)
-        main = self.main()
+        main = self.main(frozenset(t[0] for t in texts if t[3].strip()))
         dropped = {b for b, (slot, s) in blocks.items() if main.get(slot) and hash_text([s]) in main[slot]}
         return block_texts([t for t in texts if t[1] not in dropped], main.__contains__)
 

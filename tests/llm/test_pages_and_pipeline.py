@@ -62,6 +62,21 @@ def test_position_in_the_wrapper_decides(spark):
     assert {r.page_id: r.text for r in got} == want
 
 
+@pytest.mark.parametrize("container", ["article", 'div class="story"'])
+def test_each_template_of_a_host_has_its_main_slots(spark, container):
+    """10 % of a host's pages hold their text in another container, as do pages
+    without a host; an intro that all templates share does not outweigh it."""
+    rows, want = [], {}
+    for i in range(100):
+        tag = 'div class="content"' if i % 10 == 3 else container
+        text = f"Text of page {i} " + f"that is its own {i} " * 20
+        html = f"<body><nav><a>Home</a></nav><div class='intro'><p>Today {i} is a day like others, hot {i}.</p></div><{tag}><h1>Head {i}</h1><p>{text}</p></{tag.split()[0]}><footer>end</footer></body>"
+        rows.append((i, "http://big.example.com/" if i < 80 else None, html))
+        want[i] = f"Head {i}\n\n{text.strip()}"
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
 def test_every_page_has_a_place_in_its_wrapper():
     rnd = random.Random(3)
 
