@@ -9,6 +9,7 @@ doubles rounded) exactly as in the matching oracle SQL of
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import init, matrix, report, text, topics
 from ..operators import fit as fitmod
-from ..operators.fit import Controls, VemControl
+from ..operators.fit import Controls
 from ..operators.select import select_model
 from ..sources import read_table
 
@@ -29,10 +30,8 @@ SMOOTHING = 0.5         # source-group topics are smoothed so no term has p = 0
 VE_ITERS = 3            # fixed gamma iterations of the VE oracle queries
 STOP_SHARE = 0.5        # stop list: terms in at least half of the documents
 FIT_Q, FIT_K = 6, 4
-FIT_CONTROLS = Controls(init=VemControl(em_max_iter=20, var_max_iter=50, var_tol=1e-6),
-                        loop=VemControl(alpha=1.0, estimate_beta=False, var_max_iter=1000,
-                                        var_tol=1e-9),
-                        beta_starts=2)
+FIT_CONTROLS = Controls()      # the library's defaults: every loop runs to its tolerance
+UNTIL_CONVERGED = sys.maxsize  # epochs: a fit ends when no document moves
 
 
 # ------------------------------------------------------------ shared parts ---
@@ -233,6 +232,18 @@ def ve_elbo_lang_source(spark, sf):
                      F.round("elbo", 2).alias("elbo"))
 
 
+def ve_converged_lang_source(spark, sf):
+    """D2, D3 to convergence: gamma and lower bound of each language
+    meta-document under the source topics, solved as the fits solve it."""
+    docs, cm = _pruned(spark, sf)
+    assign = init.assign_from_labels(docs, "lang")
+    beta = init.beta_from_groups(cm.dtm, docs, "source", cm.vocab, cm.V, SMOOTHING)
+    loop = FIT_CONTROLS.loop
+    ve = topics.ve_meta(matrix.meta_documents(cm.dtm, assign), beta, loop.alpha,
+                        loop.var_max_iter, loop.var_tol, accelerate=loop.accelerate)
+    return ve.select("cluster", "n_words", "elbo", "gamma")
+
+
 def bound_icl_lang_source(spark, sf):
     """Total bound of the language partition and its ICL."""
     docs, cm, assign, beta, ve = _ve_state(spark, sf)
@@ -316,7 +327,7 @@ def top_terms_by_role(spark, sf):
 def _fit_batch(spark, sf):
     docs, cm = _pruned(spark, sf)
     return docs, cm, fitmod.fit(cm, FIT_Q, FIT_K, "random", "lda", FIT_CONTROLS,
-                                max_epochs=10, nruns=2, mode="batch", seed=SEED)
+                                max_epochs=UNTIL_CONVERGED, nruns=2, mode="batch", seed=SEED)
 
 
 def fit_batch_documents(spark, sf):
@@ -338,12 +349,13 @@ def ari_fit_lang(spark, sf):
 
 
 def fit_greedy_documents(spark, sf):
-    """E1-E6, E9 (greedy mode): one epoch of exact sequential moves from the
-    language partition under the source topics."""
+    """E1-E6, E9 (greedy mode): exact sequential moves from the language
+    partition under the source topics, until no move is left."""
     docs, cm = _pruned(spark, sf)
     assign = init.assign_from_labels(docs, "lang")
     beta = init.beta_from_groups(cm.dtm, docs, "source", cm.vocab, cm.V, SMOOTHING)
-    res = fitmod.fit(cm, 4, beta.K, assign, beta, FIT_CONTROLS, max_epochs=1, mode="greedy")
+    res = fitmod.fit(cm, 4, beta.K, assign, beta, FIT_CONTROLS,
+                     max_epochs=UNTIL_CONVERGED, mode="greedy")
     return res.assign
 
 
@@ -360,22 +372,24 @@ def select_model_grid(spark, sf):
     """ICL grid over K in (2, 3) and Q in (2, 3), 2 restarts, batch mode."""
     _, cm = _pruned(spark, sf)
     sel = select_model(cm, [2, 3], [2, 3], "random", "lda", FIT_CONTROLS,
-                       max_epochs=5, nruns=2, mode="batch", seed=SEED)
+                       max_epochs=UNTIL_CONVERGED, nruns=2, mode="batch", seed=SEED)
     return sel.grid
 
 
 def lda_topics(spark, sf):
-    """LDA by variational EM, K = 4, 2 starts."""
+    """LDA by variational EM, K = 4, the default number of starts."""
     _, cm = _pruned(spark, sf)
-    res = topics.fit_lda(cm.rows(), cm.V, 4, 1.0, 2, 20, 1e-4, 50, 1e-6, SEED)
+    ctl = FIT_CONTROLS.init
+    res = topics.fit_lda(cm.rows(), cm.V, 4, ctl.alpha, FIT_CONTROLS.beta_starts, ctl.em_max_iter,
+                         ctl.em_tol, ctl.var_max_iter, ctl.var_tol, SEED)
     return res.topics.df
 
 
 def kmeans_lda_partition(spark, sf):
     """K-means (Q = 6) on the LDA topic proportions of every document."""
     _, cm = _pruned(spark, sf)
-    return topics.init_kmeans_lda(cm, 6, 4, nruns=2, seed=SEED, nstart=2, var_max_iter=50,
-                                  em_max_iter=20)
+    return topics.init_kmeans_lda(cm, 6, 4, nruns=2, seed=SEED,
+                                  em_max_iter=FIT_CONTROLS.init.em_max_iter)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -400,6 +414,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topic_weights_by_lang": topic_weights_by_lang,
     "ve_gamma_lang_source": ve_gamma_lang_source,
     "ve_elbo_lang_source": ve_elbo_lang_source,
+    "ve_converged_lang_source": ve_converged_lang_source,
     "bound_icl_lang_source": bound_icl_lang_source,
     "batch_round_lang_source": batch_round_lang_source,
     "move_meta_lang_source": move_meta_lang_source,

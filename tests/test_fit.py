@@ -308,3 +308,21 @@ def test_batch_fit_beyond_broadcast_bound(spark, planted, monkeypatch):
     got = fit(cm, 3, beta2.K, start, beta2, PLAIN30, max_epochs=3, mode="batch")
     assert sorted(map(tuple, got.assign.collect())) == sorted(map(tuple, ref.assign.collect()))
     assert got.bound == pytest.approx(ref.bound, rel=1e-9)
+
+
+def test_registered_queries_run_to_convergence(spark):
+    """The catalog's controls are the library's, and its VE query ends at a fixed
+    point: a further iteration changes no bound."""
+    from countmix.operators import init, matrix, topics
+    from countmix.operators.fit import Controls
+    from countmix.plans import catalog
+    assert catalog.FIT_CONTROLS == Controls()
+    sf = "/root/testdata/sf0.001"
+    docs, cm = catalog._pruned(spark, sf)
+    got = {r.cluster: r for r in catalog.ve_converged_lang_source(spark, sf).collect()}
+    beta = init.beta_from_groups(cm.dtm, docs, "source", cm.vocab, cm.V, catalog.SMOOTHING)
+    meta = matrix.meta_documents(cm.dtm, init.assign_from_labels(docs, "lang"))
+    more = topics.ve_meta(meta, beta, 1.0, 1, 0.0, gamma0={(0, q): np.array(r.gamma) for q, r in got.items()}).collect()
+    assert {r.cluster for r in more} == set(got)
+    for r in more:
+        assert abs(r.elbo - got[r.cluster].elbo) <= 1e-7 * abs(r.elbo)
