@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, decontam, hpylm, kneser_ney, lsh, secret_scan, seqfile, simhash, wrappers, zdict
-from .common import held_out
+from . import bpe, decontam, hpylm, kneser_ney, line_dedup, lsh, merkle, prefix_trie, secret_scan, seqfile, simhash, wrappers, zdict
+from .common import held_out, saved
+from .oracle import SQL
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -69,6 +70,27 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document; rows whose id's crc32 7
+    divides are checked with a changed ``n_chars``."""
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    out = merkle.document_manifest(read_table(spark, sf_dir, "documents"), changed)
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    convs = saved(prefix_trie.conversations(read_table(spark, sf_dir, "conversations")), "conversations")
+    rebuilt = prefix_trie.rebuilt(convs, lambda c: c - c % 20, (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int"))
+    return prefix_trie.trie(prefix_trie.paths(rebuilt))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated lines."""
+    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_pitman_yor": op2_pitman_yor,
@@ -80,6 +102,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_nearest": op10_nearest,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_line_dedup": op13_line_dedup,
 }
-
-SQL: dict[str, str] = {}
