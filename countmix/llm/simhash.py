@@ -18,8 +18,8 @@ descendants six bits below become node pairs of their own, each one task unit.
 
 Edge cases: null text counts as empty; a text without words has fingerprint
 zero and links like any other; repeated rows and ids share classes; a row with
-a null id has the component of its class (null if the class has no id); an
-empty table gives an empty result.
+a null id links like any other and has the least id of its component (null if no
+row of it has an id); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -67,16 +67,16 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` (signed 64 bits) of each row."""
+    """``doc_id, text_hash, fp`` (signed 64 bits) of each row."""
     rows = texts(docs, id_col, text_col)
-    rows = rows.select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fp)], ["doc_id", "text_hash", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
 
 
 class Links:
@@ -251,29 +251,46 @@ def components(links: DataFrame, max_rounds: int | None = None) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def rooted(fps: DataFrame, max_bits: int = 3) -> DataFrame:
+    """``fp, root`` of every distinct fingerprint: the least fingerprint (signed)
+    of its component, over links between fingerprints, whoever holds them."""
+    classes = saved(fps.select("fp").distinct(), "classes")
+    comp = components(near_pairs(classes, max_bits))
+    return saved(classes.join(comp, classes["fp"] == comp["node"], "left").select("fp", F.coalesce("component", "fp").alias("root")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint`` (16 hex digits), ``component_id`` (the smallest
     doc_id reachable over links) of every row."""
     fps = saved(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    pairs = near_pairs(classes, max_bits)
-    named = classes.where("rep is not null")
-    ends = (pairs.join(named.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a")
-            .join(named.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-            .select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    comp = components(ends)
-    of_class = classes.join(comp, classes["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    roots = rooted(fps, max_bits)
+    named = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_class = roots.join(least, "root").select("fp", "component_id")
     return fps.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
-    """``documents`` rows of which one stays per component: the smallest id
-    (rows without an id stay; of rows that repeat an id one stays)."""
-    found = saved(near_duplicates(docs, words, max_bits), "duplicates")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """``documents`` rows of which one stays per component: the one of the smallest
+    id, then of the smallest text hash (a row without an id only if none has one).
+    Rows are told apart by id and text, so an id on two texts loses neither group;
+    of equal rows one stays."""
+    fps = saved(fingerprints(docs, words), "fingerprints")
+    roots = rooted(fps, max_bits)
+    rows = saved(fps.join(roots, "fp").select("root", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash").alias("key")), "members")
+    best = rows.groupBy("root").agg(F.min("key").alias("best"), F.count("*").alias("n")).where("n > 1").select("root", "best")
+    found = rows.join(best, "root")
+    gone = found.where(~F.col("key").eqNullSafe(F.col("best"))).select("key.doc_id", "key.text_hash").distinct()
+    again = found.where(F.col("key").eqNullSafe(F.col("best"))).groupBy("key").count().where("count > 1").select("key.doc_id", "key.text_hash")
+
+    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+    def on(side):
+        return hashed["doc_id"].eqNullSafe(side["doc_id"]) & (hashed["_hash"] == side["text_hash"])
+
+    kept = hashed.join(gone, on(gone), "left_anti")
+    again = saved(again, "repeated")
     if again.isEmpty():
-        return kept
-    one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(one)
+        return kept.drop("_hash")
+    one = kept.join(again, on(again), "left_semi").dropDuplicates(["doc_id", "_hash"])
+    return kept.join(again, on(again), "left_anti").unionByName(one).drop("_hash")

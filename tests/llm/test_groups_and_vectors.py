@@ -65,6 +65,23 @@ def test_near_duplicates(spark, monkeypatch, hot):
     assert sorted(kept) == sorted({c for _, _, c in want})
 
 
+def test_links_through_rows_without_an_id(spark, monkeypatch):
+    """Fingerprints 0 (no id), 0b111 (id 1), 0b111111 (id 7): one component."""
+    rows = spark.createDataFrame([(None, 10, 0), (1, 11, 0b111), (7, 12, 0b111111), (None, 13, -1)], "doc_id long, text_hash long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: rows)
+    got = {r.fingerprint: r.component_id for r in simhash.near_duplicates(rows).collect()}
+    assert got == {"0" * 16: 1, "0" * 14 + "07": 1, "0" * 14 + "3f": 1, "f" * 16: None}
+
+
+def test_an_id_on_two_texts_loses_no_group(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve thirteen"
+    rows = [(1, a), (5, a), (5, b), (9, b), (None, b), (3, "x"), (3, "x"), (None, "only without an id y"), (None, "only without an id y")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, fp int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted([(1, a), (5, b), (3, "x"), (None, "only without an id y")], key=str)
+
+
 def test_trie_join_finds_all_links():
     rng = np.random.default_rng(0)
     x = []

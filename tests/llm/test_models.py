@@ -179,6 +179,23 @@ def test_pitman_yor_base_and_gain(spark):
     assert [(r.n_known, r.train_tokens, r.score) for r in only] == [(0, 0, 0.0)]
 
 
+def test_pitman_yor_chunks(spark):
+    """Scores depend neither on how rows are dealt nor on the size of chunks, and
+    a chunk may hold unseen pairs only."""
+    rnd = random.Random(4)
+    rows = [(i, prose(rnd, rnd.randrange(30), ["th", "er", "on", "an"])) for i in range(60)]
+    rows += [(100 + i, None if i % 2 else "never seen") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = F.col("doc_id") >= 100
+    want = {r.doc_id: (r.n_tokens, r.n_known, r.score) for r in hpylm.score(docs.coalesce(1), train).collect()}
+    got = {r.doc_id: (r.n_tokens, r.n_known, r.score) for r in hpylm.score(docs.repartition(7), train, chunk_tokens=40).collect()}
+    assert len(want) == len(rows) and got.keys() == want.keys()
+    for k, (n, known, score) in want.items():
+        assert got[k][:2] == (n, known) and got[k][2] == pytest.approx(score, abs=1e-9)
+    alone = hpylm.score(docs.where("doc_id < 60 or doc_id = 101"), train, chunk_tokens=1).collect()
+    assert len(alone) == 61 and all(r.score < 0 for r in alone)
+
+
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     pairs = rng.integers(1, 6, 50)
