@@ -5,9 +5,9 @@ Two physical strategies for the VE-step on meta-documents:
 * ``numpy``: beta (K x V) is shipped once as a broadcast variable and every
   meta-document is solved by the Arrow-batched kernel in ``applyInPandas``
   (one group per cluster, at most V rows per group).
-* ``spark``: when K x V is over the broadcast bound, every gamma iteration is
-  one Spark job: ``meta JOIN beta`` on term, digamma as a Column expression,
-  and two aggregates; only the Q x K gamma values come back to the driver.
+* ``spark``: when K x V is over the broadcast bound, topics and meta-documents
+  are a table of blocks of terms (:mod:`.parts`); one evaluation of all runs is
+  one job and only the Q x K gamma values come back to the driver.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from ..config import LIMITS
 from ..functions.kernel import single_thread_blas, ve_dense, ve_sparse
 from ..functions.special import digamma, lgamma
+from . import parts
 from ._util import checkpoint, ship
 from .matrix import CountMatrix
 
@@ -115,14 +116,7 @@ def ve_meta(meta: DataFrame, topics, alpha: float = 1.0, max_iter: int = 100,
     if strategy == "auto":
         strategy = "numpy" if total <= LIMITS.max_broadcast_bytes else "spark"
     if strategy == "spark":
-        if by_run:
-            parts = [_ve_meta_spark(meta.filter(F.col("run") == r), t, alpha, max_iter, tol, gamma0)
-                     for r, t in by_run.items()]
-            out = parts[0]
-            for p in parts[1:]:
-                out = out.unionByName(p)
-            return out
-        return _ve_meta_spark(meta, topics, alpha, max_iter, tol, gamma0)
+        return _ve_meta_parts(meta, topics, alpha, max_iter, tol, gamma0, accelerate)
     ship(meta.sparkSession)
     keys = list(distinct)
     mats = {i: distinct[k].matrix() for i, k in enumerate(keys)}
@@ -156,61 +150,32 @@ def ve_meta(meta: DataFrame, topics, alpha: float = 1.0, max_iter: int = 100,
     return m.groupBy("run", "cluster").applyInPandas(solve, VE_SCHEMA)
 
 
-def _bound_np(gamma, e, ll, alpha, K):
-    const = float(lgamma(np.array(K * alpha)) - K * lgamma(np.array(alpha)))
-    return (const + (alpha - 1) * e.sum() + ll - float(lgamma(np.array(gamma.sum())))
-            + float(lgamma(gamma).sum()) - float(((gamma - 1) * e).sum()))
-
-
-def _ve_meta_spark(meta, topics, alpha, max_iter, tol, gamma0):
-    """Distributed VE-step: one join + two aggregates per gamma iteration."""
+def _ve_meta_parts(meta, topics, alpha, max_iter, tol, gamma0, accelerate):
+    """Beyond the broadcast bound: all meta-documents of all runs in one job per
+    evaluation, over topics and meta-documents split by terms."""
     spark = meta.sparkSession
-    K = topics.K
-    j = (meta.select("run", "cluster", "term_id", F.col("cnt").cast("double").alias("cnt"))
-         .filter("cnt > 0").join(topics.df, "term_id")
-         .repartition("run", "cluster", "term_id").persist())
     tot = {(r.run, r.cluster): r.n for r in
            meta.groupBy("run", "cluster").agg(F.sum("cnt").cast("double").alias("n")).collect()}
-    gam = {key: (np.asarray(gamma0[key], dtype=float) if gamma0 and key in gamma0
-                 else np.full(K, alpha + n / K)) for key, n in tot.items()}
-    prev, out, it = {}, {}, 0
-    w_term = Window.partitionBy("run", "cluster", "term_id")
-    while True:
-        rows = []
-        es = {}
-        for (r, c), g in gam.items():
-            if (r, c) in out:
-                continue
-            e = digamma(g) - digamma(np.array(g.sum()))
-            es[(r, c)] = e
-            rows += [(int(r), int(c), k + 1, float(np.exp(e[k]))) for k in range(K)]
-        E = spark.createDataFrame(rows, "run int, cluster int, topic int, ee double")
-        x = j.join(F.broadcast(E), ["run", "cluster", "topic"])
-        x = x.withColumn("w", F.col("p") * F.col("ee")).withColumn("z", F.sum("w").over(w_term))
-        agg = (x.groupBy("run", "cluster", "topic")
-               .agg(F.sum(F.col("cnt") * F.col("w") / F.col("z")).alias("s"),
-                    F.sum(F.col("cnt") * F.log("z") / F.lit(float(K))).alias("ll"))
-               .collect())
-        S, LL = {}, {}
-        for a in agg:
-            S.setdefault((a.run, a.cluster), np.zeros(K))[a.topic - 1] = a.s
-            LL[(a.run, a.cluster)] = LL.get((a.run, a.cluster), 0.0) + a.ll
-        for key, e in es.items():
-            g = gam[key]
-            b = _bound_np(g, e, LL.get(key, 0.0), alpha, K)
-            done = it >= max_iter or (key in prev and abs(b - prev[key]) <= tol * abs(prev[key]))
-            if done:
-                out[key] = (g, b, it)
-            else:
-                prev[key] = b
-                # s_k = sum_v n_v beta_kv exp(e_k) / z_v already carries exp(e_k)
-                gam[key] = alpha + S.get(key, np.zeros(K))
-        if len(out) == len(gam):
-            break
-        it += 1
-    j.unpersist()
-    res = [(int(r), int(c), float(tot[(r, c)]), float(b), int(i), [float(v) for v in g])
-           for (r, c), (g, b, i) in out.items()]
+    runs = sorted({r for r, _ in tot})
+    by_run = {r: topics[r] for r in runs} if isinstance(topics, dict) else dict.fromkeys(runs, topics)
+    sets: dict[int, Topics] = {}
+    set_of = {}
+    for r, t in by_run.items():
+        set_of[r] = next((s for s, x in sets.items() if x is t), len(sets))
+        sets[set_of[r]] = t
+    if not sets:
+        return spark.createDataFrame([], VE_SCHEMA)
+    blocks = parts.TermParts(spark, sets, meta, set_of, list(tot))
+    cands, keys = parts.meta_candidates(blocks, tot)
+    start = None
+    if gamma0:
+        start = np.ones((len(keys), max(blocks.K.values())))
+        for i, key in enumerate(keys):
+            K = by_run[key[0]].K
+            start[i, :K] = gamma0.get(key, np.full(K, alpha + tot[key] / K))
+    g, el, it = blocks.solve(cands, alpha, max_iter, tol, start, accelerate)
+    res = [(int(r), int(c), float(tot[(r, c)]), float(el[i]), int(it[i]), [float(v) for v in g[i, :by_run[r].K]])
+           for i, (r, c) in enumerate(keys)]
     return spark.createDataFrame(res, VE_SCHEMA)
 
 
