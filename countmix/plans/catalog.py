@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import init, matrix, report, text, topics
+from ..operators import init, matrix, report, starts, text, topics
 from ..operators import fit as fitmod
 from ..operators.fit import Controls
 from ..operators.select import select_model
@@ -392,6 +392,47 @@ def kmeans_lda_partition(spark, sf):
                                   em_max_iter=FIT_CONTROLS.init.em_max_iter)
 
 
+def tfidf_unit_rows(spark, sf):
+    """C3 option: TF-IDF rows of length 1."""
+    _, cm = _pruned(spark, sf)
+    return starts.tfidf(cm.dtm, cm.N, cm.V).select("doc_id", "term_id", F.round("w", 9).alias("w"))
+
+
+def mixture_two_steps(spark, sf):
+    """C3 option: two EM steps of the mixture of multinomials from the languages."""
+    docs, cm = _pruned(spark, sf)
+    start = init.assign_from_labels(docs, "lang")
+    Q = start.agg(F.max("cluster")).first()[0] or 0
+    if not Q:
+        return spark.createDataFrame([], "doc_id long, cluster int, loglik double")
+    fit = starts.fit_mixture(cm, start, Q, SMOOTHING, max_iter=2, tol=0.0)
+    best = F.array_position("r", F.array_max("r")).cast("int")
+    return fit.resp.select("doc_id", best.alias("cluster"), F.round("ll", 4).alias("loglik"))
+
+
+def kmeans_two_steps(spark, sf):
+    """C3 option: two rounds of k-means on the TF-IDF rows from the languages."""
+    docs, cm = _pruned(spark, sf)
+    start = init.assign_from_labels(docs, "lang")
+    Q = start.agg(F.max("cluster")).first()[0] or 0
+    if not Q:
+        return spark.createDataFrame([], "doc_id long, cluster int")
+    fit = starts.fit_kmeans(starts.tfidf(cm.dtm, cm.N, cm.V), cm.docs, Q, cm.V, start, max_iter=2)
+    return fit.assign.select("doc_id", "cluster")
+
+
+def mixture_partition(spark, sf):
+    """C3 option: the mixture of multinomials, Q = 6, to convergence."""
+    _, cm = _pruned(spark, sf)
+    return starts.init_mixture(cm, FIT_Q, seed=SEED)
+
+
+def kmeans_partition(spark, sf):
+    """C3 option: k-means on the TF-IDF rows, Q = 6, to convergence."""
+    _, cm = _pruned(spark, sf)
+    return starts.init_kmeans(cm, FIT_Q, seed=SEED, weighting="tfidf")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_terms_by_lang": top_terms_by_lang,
     "term_frequencies": term_frequencies,
@@ -430,4 +471,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "select_model_grid": select_model_grid,
     "lda_topics": lda_topics,
     "kmeans_lda_partition": kmeans_lda_partition,
+    "tfidf_unit_rows": tfidf_unit_rows,
+    "mixture_two_steps": mixture_two_steps,
+    "kmeans_two_steps": kmeans_two_steps,
+    "mixture_partition": mixture_partition,
+    "kmeans_partition": kmeans_partition,
 }

@@ -105,6 +105,41 @@ t AS (SELECT doc_id, role, term FROM toks WHERE length(term) >= 3),
 dtm_t AS (SELECT doc_id, term, count(*) AS cnt FROM t GROUP BY doc_id, term)"""
 
 
+TFIDF = """dfs AS (SELECT term_id, count(*) AS df FROM dtm5 GROUP BY 1),
+wts AS (SELECT doc_id, term_id, cnt / sum(cnt) OVER (PARTITION BY doc_id) * log2((SELECT count(DISTINCT doc_id) FROM documents) / df) AS w
+        FROM dtm5 JOIN dfs USING (term_id)),
+tfidf AS (SELECT doc_id, term_id, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM wts WHERE w > 0)"""
+
+
+def _mixture_step(i: int) -> str:
+    """One M-step and E-step: responsibilities r{i} of r{i - 1}."""
+    s = C.SMOOTHING
+    return f"""wt{i} AS (SELECT r.cluster, d.term_id, sum(d.cnt * r.r) AS w FROM dtm5 d JOIN r{i - 1} r USING (doc_id) GROUP BY 1, 2),
+tot{i} AS (SELECT cluster, sum(w) + {s} * (SELECT v FROM vv) AS t FROM wt{i} GROUP BY 1),
+lam{i} AS (SELECT cluster, ln(sum(r) / (SELECT n FROM nn)) AS lw FROM r{i - 1} GROUP BY 1),
+th{i} AS (SELECT t.cluster, v.term_id, ln((coalesce(w.w, 0) + {s}) / t.t) AS lp
+          FROM tot{i} t CROSS JOIN vocab5 v LEFT JOIN wt{i} w ON w.cluster = t.cluster AND w.term_id = v.term_id),
+sc{i} AS (SELECT x.doc_id, l.cluster, l.lw + coalesce(s.s, 0) AS s FROM (SELECT DISTINCT doc_id FROM documents) x CROSS JOIN lam{i} l
+          LEFT JOIN (SELECT d.doc_id, t.cluster, sum(d.cnt * t.lp) AS s FROM dtm5 d JOIN th{i} t USING (term_id) GROUP BY 1, 2) s
+          ON s.doc_id = x.doc_id AND s.cluster = l.cluster),
+ll{i} AS (SELECT doc_id, m + ln(sum(exp(s - m))) AS ll FROM (SELECT *, max(s) OVER (PARTITION BY doc_id) AS m FROM sc{i}) GROUP BY doc_id, m),
+r{i} AS (SELECT doc_id, cluster, exp(s - ll) AS r, ll FROM sc{i} JOIN ll{i} USING (doc_id))"""
+
+
+def _kmeans_step(i: int) -> str:
+    """Means of k{i - 1} and the nearest of them; a document stays on a tie."""
+    return f"""n{i} AS (SELECT cluster, count(*) AS n FROM k{i - 1} GROUP BY 1),
+c{i} AS (SELECT k.cluster, t.term_id, sum(t.w) / any_value(n.n) AS c FROM tfidf t JOIN k{i - 1} k USING (doc_id) JOIN n{i} n USING (cluster) GROUP BY 1, 2),
+cn{i} AS (SELECT n.cluster, coalesce(sum(c * c), 0) AS nn FROM n{i} n LEFT JOIN c{i} USING (cluster) GROUP BY 1),
+x{i} AS (SELECT k.doc_id, k.cluster AS was, cn.cluster, sqrt(greatest(0, coalesce(x2.x, 0) - 2 * coalesce(s.s, 0) + cn.nn)) AS d
+         FROM k{i - 1} k CROSS JOIN cn{i} cn
+         LEFT JOIN (SELECT doc_id, sum(w * w) AS x FROM tfidf GROUP BY 1) x2 ON x2.doc_id = k.doc_id
+         LEFT JOIN (SELECT t.doc_id, c.cluster, sum(t.w * c.c) AS s FROM tfidf t JOIN c{i} c USING (term_id) GROUP BY 1, 2) s
+         ON s.doc_id = k.doc_id AND s.cluster = cn.cluster),
+k{i} AS (SELECT doc_id, CASE WHEN min(d) FILTER (cluster = was) <= min(d) THEN any_value(was) ELSE min_by(cluster, (d, cluster)) END AS cluster
+         FROM x{i} GROUP BY doc_id)"""
+
+
 SQL: dict[str, str] = {
     "top_terms_by_lang": f"WITH {TOK}, {VOCAB}, {LANG}, {LANG_COUNTS}, {_entropy_ctes('lc', 'SELECT count(*) FROM langs')}, {TOP}",
     "term_frequencies": f"WITH {TOK} SELECT doc_id, term, cnt FROM dtm_t",
@@ -208,4 +243,15 @@ rc AS (SELECT r.topic, d.term_id, sum(d.cnt)::DOUBLE AS cnt
        FROM dtm d JOIN (SELECT DISTINCT doc_id, role FROM t) x USING (doc_id)
        JOIN roles r USING (role) GROUP BY 1, 2),
 {_entropy_ctes('rc', 'SELECT count(*) FROM roles')}, {TOP}""",
+    "tfidf_unit_rows": f"""WITH {TOK}, {PRUNED}, {TFIDF}
+SELECT doc_id, term_id, round(w, 9) AS w FROM tfidf""",
+    "mixture_two_steps": f"""WITH {TOK}, {PRUNED}, {LANG},
+nn AS (SELECT count(DISTINCT doc_id)::DOUBLE AS n FROM documents), vv AS (SELECT count(*) AS v FROM vocab5),
+r0 AS (SELECT doc_id, cluster, 1.0::DOUBLE AS r FROM asg),
+{_mixture_step(1)}, {_mixture_step(2)}
+SELECT doc_id, max_by(cluster, (r, -cluster)) AS cluster, round(max(ll), 4) AS loglik FROM r2 GROUP BY doc_id""",
+    "kmeans_two_steps": f"""WITH {TOK}, {PRUNED}, {TFIDF}, {LANG},
+k0 AS (SELECT doc_id, cluster FROM asg),
+{_kmeans_step(1)}, {_kmeans_step(2)}
+SELECT doc_id, cluster FROM k2""",
 }
