@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import unicodedata
 import uuid
 import zlib
 
@@ -40,8 +41,17 @@ from .common import scratch, texts
 
 #: Sequences in a record batch.
 BATCH_SEQUENCES = 256
-#: Distinct pieces whose ids a worker remembers.
-CACHE_PIECES = 600_000
+#: Distinct pieces whose ids a worker remembers (about 200 bytes each).
+CACHE_PIECES = 1_000_000
+
+
+#: The first letter past Latin Extended-B.
+LATIN = "\u0250"
+
+
+def untouched(piece: str) -> bool:
+    """True if composing and lower-casing surely leave the piece as it is."""
+    return max(piece) < LATIN and piece == piece.lower() and unicodedata.is_normalized("NFC", piece)
 
 
 class LibraryEncoder:
@@ -65,7 +75,8 @@ class LibraryEncoder:
         norm = j["normalizer"] or {}
         self.lower = any(n["type"] == "Lowercase" for n in norm.get("normalizers", [norm] if norm else []))
         self.by_piece, self.pieces = by_piece and self.cut is not None, {}
-        # what the normalizer leaves as it is, lower-case ASCII without space, can skip it
+        # what the normalizer leaves as it is can skip it: lower-case ASCII, and
+        # lower-case composed Latin letters (below LATIN)
         steps = norm.get("normalizers", [norm] if norm else [])
         idle = all(n["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or (n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"}) for n in steps)
         self.plain = Tokenizer.from_str(json.dumps(j | {"normalizer": None, "truncation": None, "padding": None})) if idle and self.lower else None
@@ -76,8 +87,9 @@ class LibraryEncoder:
 
     def _learn(self, new: list[bytes]) -> None:
         if self.plain is not None:
-            self._add(self.plain, [p for p in new if p.isascii()])
-            new = [p for p in new if not p.isascii()]
+            idle = [p for p in new if p.isascii() or untouched(p.decode())]
+            self._add(self.plain, idle)
+            new = list(set(new).difference(idle))
         self._add(self.tok, new)
 
     def _add(self, tok, new: list[bytes]) -> None:
@@ -103,7 +115,8 @@ class LibraryEncoder:
         words = set().union(*cut)
         new = words.difference(self.pieces)
         if len(self.pieces) + len(new) > CACHE_PIECES:
-            self.pieces, new = {}, words
+            # the pieces of this batch stay: the frequent ones are among them
+            self.pieces = {w: self.pieces[w] for w in words.difference(new)}
         if new:
             self._learn(list(new))
         out = [b"".join(map(self.pieces.__getitem__, ws)) for ws in cut]
