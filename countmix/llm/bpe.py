@@ -3,19 +3,24 @@
 The symbols of many words lie in one flat array.  In each round the pairs of
 neighbours become 64-bit keys, their ranks are found by binary search over
 the sorted keys of the merge table, and every word merges its lowest-ranked
-pair.  Each distinct word of a worker is encoded once (a bounded cache, emptied
-when full; it only saves time).
+pair.  A word of more than ``LONG_WORD`` bytes would need about as many rounds as
+merges, each over all of it; its pairs wait in a heap by (rank, position) instead,
+with the same result.  Each distinct word of a worker is encoded once (a bounded
+cache, emptied when full; it only saves time).
 
 Edge cases: null text counts as empty; an empty text has no ids; repeated
-rows are each encoded; a null id is passed through.
+rows are each encoded; a null id is passed through; an id that no token has is
+left out when decoding; null ids decode to the empty text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,10 @@ SPACE = "\t-\r \x85\xa0  -     　"
 NO_RANK = np.int64(2**62)
 #: Distinct words kept by one worker.
 CACHE_WORDS = 250_000
+#: Characters of the distinct words kept by one worker.
+CACHE_CHARS = 16_000_000
+#: Words of more bytes than this are merged by a heap, not in rounds.
+LONG_WORD = 256
 
 
 def byte_alphabet() -> list[str]:
@@ -58,6 +67,7 @@ class BpeModel:
         self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.names = {v: k for k, v in (self.vocab | self.special).items()}
+        self.token_of = {str(i): name for i, name in self.names.items()}
         letters = byte_alphabet()
         self.byte_id = np.array([self.vocab.get(c, -1) for c in letters], dtype=np.int64)
         self.end_id = np.array([self.vocab.get(c + self.suffix, -1) for c in letters], dtype=np.int64)
@@ -91,10 +101,66 @@ class BpeModel:
                 out.extend(self.pattern.findall(self.normalise(p)))
         return out
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_words(self, words: list[str], long_word: int = LONG_WORD) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words and where each word's ids end."""
+        raw = [w.encode("utf-8") for w in words]
+        long = {i: self.merge_long(r) for i, r in enumerate(raw) if len(r) > long_word}
+        ids, ends = self.merge_rounds([b"" if i in long else r for i, r in enumerate(raw)])
+        if not long:
+            return ids, ends
+        parts = np.split(ids, ends[:-1])
+        for i, own in long.items():
+            parts[i] = own
+        return np.concatenate(parts), np.cumsum([len(x) for x in parts])
+
+    def merge_long(self, raw: bytes) -> np.ndarray:
+        """The ids of one word of any length: the leftmost pair of the lowest rank
+        is merged until none is left, at a cost of log(n) a merge."""
+        flat = np.frombuffer(raw, dtype=np.uint8)
+        ids = self.byte_id[flat]
+        ids[-1] = self.end_id[flat[-1]]
+        ids = ids[ids >= 0]
+        n = len(ids)
+        key = ids[:-1] << 32 | ids[1:]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == key)
+        heap = (self.rank_of[at[hit]] << 32 | hit).tolist()
+        heapq.heapify(heap)
+        sym, after, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        pairs = self.pairs
+        while heap:
+            rank, i = divmod(heapq.heappop(heap), 2**32)
+            j = after[i]
+            if sym[i] < 0 or j >= n:
+                continue
+            now, made = pairs.get(sym[i] << 32 | sym[j], (-1, 0))
+            if now != rank:  # one of the two has been merged since
+                continue
+            sym[i], sym[j] = made, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if new := pairs.get(made << 32 | sym[k]):
+                    heapq.heappush(heap, new[0] << 32 | i)
+            h = before[i]
+            if h >= 0 and (new := pairs.get(sym[h] << 32 | made)):
+                heapq.heappush(heap, new[0] << 32 | h)
+        left = np.array(sym, dtype=np.int64)
+        return left[left >= 0]
+
+    @cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        """Rank and result of each pair key."""
+        return dict(zip(self.keys.tolist(), zip(self.rank_of.tolist(), self.made_of.tolist())))
+
+    def decode(self, ids: str) -> str:
+        """The text of decimal ids that are joined by one space: their tokens joined
+        by a space (the tokenizer file names no decoder)."""
+        return " ".join([t for t in map(self.token_of.get, ids.split()) if t is not None])
+
+    def merge_rounds(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, by merge rounds over all of them at once, and
         where each word's ids end."""
-        raw = [w.encode("utf-8") for w in words]
         size = np.array([len(r) for r in raw], dtype=np.int64)
         flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
         word = np.repeat(np.arange(len(raw)), size)
@@ -139,40 +205,38 @@ class BpeModel:
 
 
 class TextEncoder:
-    """Encodes whole texts; remembers the ids of words (as decimal text and as
-    token text) and forgets all when it holds ``cache_words``."""
+    """Encodes whole texts; remembers the ids of words as decimal text and forgets
+    all when it holds ``cache_words`` of them or ``CACHE_CHARS`` of their characters."""
 
     def __init__(self, model: BpeModel, cache_words: int = CACHE_WORDS):
         self.model, self.limit = model, cache_words
-        self.words: dict[str, tuple[str, str]] = {}
+        self.words: dict[str, str] = {}
+        self.chars = 0
         self.id_text = {i: str(i) for i in model.names}
 
     def learn(self, words: set[str]) -> None:
         new = words.difference(self.words)
-        if len(self.words) + len(new) > self.limit:
-            self.words, new = {}, words
+        if len(self.words) + len(new) > self.limit or self.chars + sum(map(len, new)) > CACHE_CHARS:
+            self.words, self.chars, new = {}, 0, words
+        self.chars += sum(map(len, new))
         for name in new.intersection(self.model.special):
-            self.words[name] = (str(self.model.special[name]), name)
+            self.words[name] = str(self.model.special[name])
         unseen = list(new.difference(self.model.special))
         if not unseen:
             return
         ids, ends = self.model.encode_words(unseen)
-        ids = ids.tolist()
-        digits, names = list(map(self.id_text.__getitem__, ids)), list(map(self.model.names.__getitem__, ids))
+        digits = list(map(self.id_text.__getitem__, ids.tolist()))
         lo = 0
         for w, hi in zip(unseen, ends.tolist(), strict=True):
-            self.words[w] = (" ".join(digits[lo:hi]), " ".join(names[lo:hi]))
+            self.words[w] = " ".join(digits[lo:hi])
             lo = hi
 
     def encode(self, batch: list[str]) -> list[tuple[str, str]]:
-        """Per text: its ids and its tokens, each joined by one space."""
+        """Per text: its ids joined by one space, and the text they decode to."""
         cut = [self.model.split(t) for t in batch]
         self.learn(set().union(*cut))
-        out: list[tuple[str, str]] = []
-        for ws in cut:
-            got = [g for g in map(self.words.__getitem__, ws) if g[0]]
-            out.append((" ".join([g[0] for g in got]), " ".join([g[1] for g in got])))
-        return out
+        ids = [" ".join([g for g in map(self.words.__getitem__, ws) if g]) for ws in cut]
+        return [(i, self.model.decode(i)) for i in ids]
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
@@ -216,6 +280,23 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids string, tokens string")
 
 
+def decode_documents(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """``doc_id, decoded`` of rows that hold decimal ids joined by one space, as
+    :func:`encode_documents` gives them.  One pass over the rows without a shuffle."""
+    spec = encoded.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
+    rows = texts(encoded, id_col, ids_col)
+
+    def run(batches):
+        model = encoder_for(spec.value).model
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([model.decode(t) for t in part.column("text").to_pylist()], pa.string())], ["doc_id", "decoded"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, decoded string")
+
+
 def token_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per document: digests of
     the decimal ids joined by one space and of the decoded text in UTF-8.

@@ -59,6 +59,43 @@ def test_bpe_small_cache_and_leftmost_only():
     assert [bpe.TextEncoder(model).encode([t])[0][0] for t in texts] == want
 
 
+def test_bpe_long_words():
+    """The heap and the rounds give the same ids, and both those of the library."""
+    rnd = random.Random(5)
+    model = bpe.BpeModel(bpe.read_spec(PATH))
+    words = ["".join(rnd.choices(letters, k=n)) for letters in ("ab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz", "éßя日ö") for n in (1, 2, 7, 60, 300, 2000)] + ["", "a" * 999]
+    ids, ends = model.encode_words(words)
+    for limit in (0, 10**9):
+        other = model.encode_words(words, long_word=limit)
+        assert ids.tolist() == other[0].tolist() and ends.tolist() == other[1].tolist()
+    texts = [" ".join(words), "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=200_000))]
+    got = bpe.TextEncoder(model).encode(texts)
+    for t, g in zip(texts, got):
+        want = library(t)
+        assert g == (" ".join(map(str, want[0])), want[1])
+
+
+def test_bpe_cache_is_bounded_in_characters(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 50)
+    enc = bpe.TextEncoder(bpe.BpeModel(bpe.read_spec(PATH)))
+    for t in ("one two", "x" * 100, "three four", "y" * 45, "five six seven"):
+        assert enc.encode([t])[0][0] == " ".join(map(str, library(t)[0]))
+        assert enc.chars <= max(50, len(t))
+
+
+def test_bpe_decodes_ids(spark):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(PATH)
+    rnd = random.Random(2)
+    ids = [[rnd.randrange(49_500) for _ in range(rnd.randrange(40))] for _ in range(50)] + [[], [0, 1, 2], [10**6, 5]]
+    rows = [(i, " ".join(map(str, x)), "x") for i, x in enumerate(ids)] + [(len(ids), None, "x")]
+    got = {r.doc_id: r.decoded for r in bpe.decode_documents(spark.createDataFrame(rows, "doc_id long, ids string, text string"), PATH).collect()}
+    assert got == {i: tok.decode(x, skip_special_tokens=False) for i, x in enumerate([*ids, []])}
+    texts = ODD + random_texts(50)
+    back = bpe.decode_documents(bpe.encode_documents(table(spark, texts), PATH), PATH)
+    assert {r.doc_id: r.decoded for r in back.collect()} == {i: library(t or "")[1] for i, t in enumerate(texts)}
+
+
 def test_token_files(spark, tmp_path):
     texts = ODD + random_texts(50)
     manifest = seqfile.write_sequences(table(spark, texts), PATH, out_dir=f"file://{tmp_path}/out", seq_len=16)
