@@ -94,7 +94,7 @@ def check_assign(assign: DataFrame, docs: DataFrame, Q: int,
 INIT_ALIASES = {
     "random": "random", "rand": "random",
     "kmeans_lda": "kmeans_lda", "kmeans+lda": "kmeans_lda", "kmeans.lda": "kmeans_lda",
-    "multmix": "multmix", "kmeans_dtm": "kmeans_dtm", "kmeans_tfidf": "kmeans_tfidf", "lda": "lda",
+    "multmix": "multmix", "kmeans_dtm": "kmeans_dtm", "kmeans_tfidf": "kmeans_tfidf", "lda": "lda", "gmm_lda": "gmm_lda",
 }
 
 
@@ -111,12 +111,12 @@ def init_clusters(cm: CountMatrix, Q: int, K: int, init="random", seed: int = 0,
         raise ValueError(f"unknown initialisation {init!r}: use one of {sorted(INIT_ALIASES)}")
     if name == "random":
         return init_random(cm.docs, Q, seed, cm.N)
-    from . import starts
+    from . import gmm, starts
     from .topics import init_kmeans_lda
     if name == "kmeans_tfidf":
         kw["weighting"] = "tfidf"
     start = {"kmeans_lda": init_kmeans_lda, "multmix": starts.init_mixture, "kmeans_dtm": starts.init_kmeans,
-             "kmeans_tfidf": starts.init_kmeans, "lda": starts.init_lda_map}[name]
+             "kmeans_tfidf": starts.init_kmeans, "lda": starts.init_lda_map, "gmm_lda": gmm.init_gmm_lda}[name]
     return start(cm, Q, K, nruns=1, seed=seed, **kw)
 
 

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import init, matrix, report, starts, text, topics
+from ..operators import gmm, init, matrix, report, starts, text, topics
 from ..operators import fit as fitmod
 from ..operators.fit import Controls
 from ..operators.select import select_model
@@ -26,6 +26,7 @@ SEED = 42
 TOP_N = 10
 ENTROPY_S = 2.0
 MIN_DOCS = 1            # every term with a non-zero total
+GAUSS_RIDGE = 1e-6     # share of the mean variance added to every covariance
 SMOOTHING = 0.5         # source-group topics are smoothed so no term has p = 0
 VE_ITERS = 3            # fixed gamma iterations of the VE oracle queries
 STOP_SHARE = 0.5        # stop list: terms in at least half of the documents
@@ -433,6 +434,26 @@ def kmeans_partition(spark, sf):
     return starts.init_kmeans(cm, FIT_Q, seed=SEED, weighting="tfidf")
 
 
+def gaussian_two_steps(spark, sf):
+    """C3 option: two EM steps of a full-covariance Gaussian mixture from the languages,
+    on the logarithms of each document's characters and words."""
+    docs = _docs(spark, sf).where("doc_id is not null")
+    body = F.coalesce("text", F.lit(""))
+    points = docs.select("doc_id", F.array(F.log(F.length(body) + 1.0), F.log(F.size(F.split(body, " ")) + 0.0)).alias("x"))
+    start = init.assign_from_labels(docs, "lang")
+    Q = start.agg(F.max("cluster")).first()[0] or 0
+    if not Q:
+        return spark.createDataFrame([], "doc_id long, cluster int, loglik double")
+    model = gmm.fit_gmm(points, Q, start=start, tol=0.0, max_iter=1, ridge=GAUSS_RIDGE)
+    return gmm.assign_points(points, model).select("doc_id", "cluster", F.round("ll", 5).alias("loglik"))
+
+
+def gmm_lda_partition(spark, sf):
+    """C3 option: Gaussian mixture (Q = 6) on the LDA topic proportions, to convergence."""
+    _, cm = _pruned(spark, sf)
+    return gmm.init_gmm_lda(cm, FIT_Q, FIT_K, nruns=2, seed=SEED)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_terms_by_lang": top_terms_by_lang,
     "term_frequencies": term_frequencies,
@@ -476,4 +497,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmeans_two_steps": kmeans_two_steps,
     "mixture_partition": mixture_partition,
     "kmeans_partition": kmeans_partition,
+    "gaussian_two_steps": gaussian_two_steps,
+    "gmm_lda_partition": gmm_lda_partition,
 }

@@ -140,6 +140,20 @@ k{i} AS (SELECT doc_id, CASE WHEN min(d) FILTER (cluster = was) <= min(d) THEN a
          FROM x{i} GROUP BY doc_id)"""
 
 
+def _gauss_step(i: int) -> str:
+    """One M-step (2 x 2 covariances) and E-step: responsibilities g{i} of g{i - 1}."""
+    return f"""m{i} AS (SELECT cluster, sum(r) AS n, sum(r * x) / sum(r) AS mx, sum(r * y) / sum(r) AS my,
+          sum(r * x * x) / sum(r) AS xx, sum(r * x * y) / sum(r) AS xy, sum(r * y * y) / sum(r) AS yy
+          FROM pts JOIN g{i - 1} USING (doc_id) GROUP BY 1),
+p{i} AS (SELECT cluster, mx, my, ln(n / (SELECT sum(n) FROM m{i})) AS lw, xx - mx * mx + f AS a, xy - mx * my AS b, yy - my * my + f AS c
+         FROM m{i} CROSS JOIN (SELECT f FROM whole)),
+sc{i} AS (SELECT doc_id, cluster, lw - ln(2 * pi()) - 0.5 * ln(a * c - b * b)
+          - 0.5 * (c * (x - mx) * (x - mx) - 2 * b * (x - mx) * (y - my) + a * (y - my) * (y - my)) / (a * c - b * b) AS s
+          FROM pts CROSS JOIN p{i}),
+ll{i} AS (SELECT doc_id, m + ln(sum(exp(s - m))) AS ll FROM (SELECT *, max(s) OVER (PARTITION BY doc_id) AS m FROM sc{i}) GROUP BY doc_id, m),
+g{i} AS (SELECT doc_id, cluster, exp(s - ll) AS r, ll FROM sc{i} JOIN ll{i} USING (doc_id))"""
+
+
 SQL: dict[str, str] = {
     "top_terms_by_lang": f"WITH {TOK}, {VOCAB}, {LANG}, {LANG_COUNTS}, {_entropy_ctes('lc', 'SELECT count(*) FROM langs')}, {TOP}",
     "term_frequencies": f"WITH {TOK} SELECT doc_id, term, cnt FROM dtm_t",
@@ -254,4 +268,12 @@ SELECT doc_id, max_by(cluster, (r, -cluster)) AS cluster, round(max(ll), 4) AS l
 k0 AS (SELECT doc_id, cluster FROM asg),
 {_kmeans_step(1)}, {_kmeans_step(2)}
 SELECT doc_id, cluster FROM k2""",
+    "gaussian_two_steps": f"""WITH {LANG},
+raw AS (SELECT doc_id, ln(length(coalesce(text, '')) + 1.0) AS x, ln(len(string_split(coalesce(text, ''), ' ')) + 0.0) AS y FROM documents WHERE doc_id IS NOT NULL),
+mid AS (SELECT avg(x) AS cx, avg(y) AS cy FROM raw),
+pts AS (SELECT doc_id, x - cx AS x, y - cy AS y FROM raw CROSS JOIN mid),
+whole AS (SELECT {C.GAUSS_RIDGE} * greatest((avg(x * x) + avg(y * y)) / 2, 1e-12) AS f FROM pts),
+g0 AS (SELECT doc_id, cluster, 1.0::DOUBLE AS r FROM asg),
+{_gauss_step(1)}, {_gauss_step(2)}
+SELECT doc_id, max_by(cluster, (r, -cluster)) AS cluster, round(max(ll), 5) AS loglik FROM g2 GROUP BY doc_id""",
 }
