@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import gmm, init, matrix, report, starts, text, topics
+from ..operators import gmm, init, matrix, report, starts, stream_lda, text, topics
 from ..operators import fit as fitmod
 from ..operators.fit import Controls
 from ..operators.select import select_model
@@ -386,6 +386,14 @@ def lda_topics(spark, sf):
     return res.topics.df
 
 
+def lda_minibatch_topics(spark, sf):
+    """The same model by streamed minibatches, with the default controls."""
+    _, cm = _pruned(spark, sf)
+    ctl = FIT_CONTROLS.init
+    return stream_lda.fit_lda_minibatch(cm.rows(), cm.V, 4, ctl.alpha, FIT_CONTROLS.beta_starts,
+                                        var_max_iter=ctl.var_max_iter, var_tol=ctl.var_tol, seed=SEED).best.df
+
+
 def kmeans_lda_partition(spark, sf):
     """K-means (Q = 6) on the LDA topic proportions of every document."""
     _, cm = _pruned(spark, sf)
@@ -491,6 +499,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "move_table_lang_source": move_table_lang_source,
     "select_model_grid": select_model_grid,
     "lda_topics": lda_topics,
+    "lda_minibatch_topics": lda_minibatch_topics,
     "kmeans_lda_partition": kmeans_lda_partition,
     "tfidf_unit_rows": tfidf_unit_rows,
     "mixture_two_steps": mixture_two_steps,
