@@ -83,9 +83,10 @@ def fit_index(sample: np.ndarray, norm: float, k: int, tables: int, hashes: int,
     index = Index(rng.standard_normal((tables, hashes, sample.shape[1] + 1)), rng.random((tables, hashes)) * width, width, math.inf, norm)
     if len(sample) < 2:
         return index
-    q = sample[rng.permutation(len(sample))[:n_queries]]
+    asked = rng.permutation(len(sample))[:n_queries]
+    q = sample[asked]
     s = q @ sample.T
-    s[(q[:, None, :1] == sample[None, :, :1]).all(axis=2)] = -math.inf  # itself
+    s[np.arange(len(asked)), asked] = -math.inf  # itself
     near = np.argsort(-s, axis=1, kind="stable")[:, :min(k, len(sample) - 1)]
     cells, proj = np.floor(index.project(index.points(sample))), index.project(index.queries(q))
     need = np.full(near.shape, math.inf)

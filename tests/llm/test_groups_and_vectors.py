@@ -151,6 +151,16 @@ def test_nearest_recall_ties_and_bad_vectors(spark, monkeypatch):
     assert [r.vec_id for r in by[60]] == [i for i in range(49, 80) if i != 60][:20]
 
 
+def test_budget_with_a_shared_component():
+    """Vectors that agree in a component are neighbours like any others."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((400, 12))
+    budget = lambda v: lsh.fit_index(v, float(np.linalg.norm(v, axis=1).max()), 5, 4, 6, 0.8, 0.9).budget
+    alike = np.concatenate([np.full((400, 1), 1e-3), x[:, 1:]], axis=1)
+    unlike = np.concatenate([rng.permutation(400)[:, None] * 1e-9 + 1e-3, x[:, 1:]], axis=1)
+    assert budget(alike) == pytest.approx(budget(unlike), rel=1e-3)
+
+
 def test_nearest_few_rows_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r.rank, r.vec_id) for r in lsh.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()]
