@@ -12,8 +12,9 @@ dictionary saves are the window's gain.  A logistic calibration, fitted on the
 sample, turns a document's gains (the largest, the mean of the two largest, how
 many reach a threshold and their share) into a probability.
 
-The sample holds at most ``sample_docs`` labelled documents per class, those
-with the least id hashes; it is the only thing gathered in one place.  Scoring
+The sample holds at most ``sample_docs`` labelled documents and ``sample_bytes`` of text per class
+(one document at least), those with the least id hashes; it is the only thing gathered in one place.
+Of an id with several texts the sample takes the one of the least hash.  Scoring
 is one pass over all rows without a shuffle.
 
 Edge cases: null or empty text has one empty window and the score of no gain;
@@ -33,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, texts
+from .common import columns, drop_folder, scratch, texts
 
 WINDOW_WORDS = 8
 ORDINARY_BYTES = 32_768
@@ -152,18 +153,25 @@ def fit(toxic: list[bytes], ordinary: list[bytes], n_toxic: int, n_ordinary: int
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, use: Column, sample_docs: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, use: Column, sample_docs: int = 4000, sample_bytes: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits on the labelled documents for which ``use`` (of the labels' ``doc_id``)
     holds."""
     marks = (columns(labels, doc_id="doc_id", toxic="toxic").where(use & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     n = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
-    got = {}
+    least = [marks.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs) for k in (1, 0)]
+    own = columns(docs, doc_id=id_col, text=F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    rows = own.join(F.broadcast(least[0].unionByName(least[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    path = scratch(docs.sparkSession, "sample")
+    rows.withColumn("h", F.xxhash64("doc_id")).withColumn("size", F.octet_length("text").cast("long")).write.parquet(path)
+    rows, got = docs.sparkSession.read.parquet(path), {}
     for k in (1, 0):
-        ids = marks.where(F.col("toxic") == k).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-        own = columns(docs, doc_id=id_col, text=F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-        rows = own.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col("doc_id"), F.col("text").cast("binary").alias("text"))
-        got[k] = [bytes(r["text"]) for r in sorted(rows.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])]  # at most sample_docs
+        sizes = sorted(rows.where(F.col("toxic") == k).select("h", "size").collect())  # at most sample_docs
+        total = np.cumsum([r["size"] for r in sizes])
+        kept = max(1, int((total <= sample_bytes).sum())) if sizes else 0
+        some = rows.where((F.col("toxic") == k) & (F.col("h") <= sizes[kept - 1]["h"])) if kept else rows.where("false")
+        got[k] = [r["text"].encode("utf-8", "surrogatepass") for r in sorted(some.select("doc_id", "text").collect(), key=lambda r: r["doc_id"])]  # at most sample_bytes
+    drop_folder(docs.sparkSession, path)
     return fit(got[1], got[0], n.get(1, 0), n.get(0, 0))
 
 

@@ -135,6 +135,18 @@ def test_toxicity_held_out(spark):
     assert zdict.score(docs.where("false"), model).count() == 0
 
 
+def test_toxicity_sample_of_repeated_ids_and_bytes(spark):
+    rows = toxic_rows(300, 5)
+    odd = [(i, f"other text {i}", 1) for i in range(0, 300, 3)]  # an id on two texts
+    docs = spark.createDataFrame([r[:2] + (1,) for r in rows] + odd, "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    models = [zdict.train(d, labels, F.lit(True)) for d in (docs, docs.repartition(7, "text"))]
+    assert models[0].toxic == models[1].toxic and models[0].ordinary == models[1].ordinary
+    assert (models[0].weights == models[1].weights).all()
+    few = zdict.train(docs, labels, F.lit(True), sample_bytes=1)  # one document a class
+    assert few.weights is not None and few.share == models[0].share
+
+
 def test_toxicity_without_a_class(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
