@@ -304,11 +304,3 @@ def ve_dense(counts, beta, alpha, max_iter=100, tol=1e-9, gamma0=None, accelerat
             gamma, prev = gamma[keep], prev[keep]
         t += 1
     return out_gamma, out_elbo
-
-
-def log_z(gamma, beta):
-    """ln z_qv = ln sum_k beta_kv exp(e_qk) for gamma rows (Q, K): (Q, V)."""
-    gamma = np.asarray(gamma, dtype=np.float64)
-    e = digamma(gamma) - digamma(gamma.sum(1))[:, None]
-    with np.errstate(divide="ignore"):
-        return np.log(np.exp(e) @ np.asarray(beta, dtype=np.float64))

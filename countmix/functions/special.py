@@ -5,8 +5,7 @@ recurrence, then evaluate the asymptotic series.  Absolute error is about
 1e-11 for x > 0, which is far below what the variational bound needs.
 
 The same series is also rendered as SQL text (:func:`digamma_sql`) so the
-DuckDB oracle can evaluate the kernel without a digamma builtin, and as a
-Spark Column (:func:`digamma_col`) for the fully distributed VE step.
+DuckDB oracle can evaluate the kernel without a digamma builtin.
 """
 
 from __future__ import annotations
@@ -14,8 +13,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 SHIFT = 6
 # Bernoulli-number coefficients of the asymptotic series
@@ -67,27 +64,3 @@ def digamma_sql(x: str) -> str:
     for j, c in enumerate(PSI_COEF, start=1):
         terms.append(f"({c!r})/pow({y}, {2 * j})")
     return f"(ln({y}) - 0.5/{y} - ({' + '.join(terms)}) - {shift})"
-
-
-def digamma_col(x: Column) -> Column:
-    """The digamma series as a Spark Column expression (JVM-side, codegen)."""
-    acc = F.lit(0.0)
-    for i in range(SHIFT):
-        acc = acc - F.lit(1.0) / (x + F.lit(float(i)))
-    y = x + F.lit(float(SHIFT))
-    series = F.lit(0.0)
-    for j, c in enumerate(PSI_COEF, start=1):
-        series = series + F.lit(c) / F.pow(y, F.lit(float(2 * j)))
-    return acc + F.log(y) - F.lit(0.5) / y - series
-
-
-def lgamma_col(x: Column) -> Column:
-    """Log-gamma series as a Spark Column expression."""
-    prod_log = F.lit(0.0)
-    for i in range(SHIFT):
-        prod_log = prod_log + F.log(x + F.lit(float(i)))
-    y = x + F.lit(float(SHIFT))
-    series = F.lit(0.0)
-    for j, c in enumerate(LGAMMA_COEF):
-        series = series + F.lit(c) / F.pow(y, F.lit(float(2 * j + 1)))
-    return (y - F.lit(0.5)) * F.log(y) - y + F.lit(HALF_LOG_2PI) + series - prod_log

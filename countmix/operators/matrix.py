@@ -176,15 +176,15 @@ def row_normalise(df: DataFrame, row: list[str] | str, val: str, out: str | None
                   few_rows: bool = True) -> DataFrame:
     """Divide ``val`` by its row total so each row sums to 1.
 
-    ``few_rows`` (topics, clusters): totals are a tiny aggregate joined back
-    by broadcast, so no key holds a whole row in one task.  Otherwise (one
-    row per document) a window partitioned by the row key is used.
+    ``few_rows`` (topics, clusters): totals are counted, and joined back by
+    broadcast within the bound, so no key holds a whole row in one task.  Otherwise
+    (one row per document) a window partitioned by the row key is used.
     """
     rows = [row] if isinstance(row, str) else list(row)
     out = out or val
     if few_rows:
-        tot = df.groupBy(*rows).agg(F.sum(val).alias("_tot"))
-        j = df.join(F.broadcast(tot), rows)
+        tot = checkpoint(df.groupBy(*rows).agg(F.sum(val).alias("_tot")))
+        j = df.join(bounded_broadcast(tot, tot.count()), rows)
         return j.withColumn(out, F.col(val) / F.col("_tot")).drop("_tot")
     w = Window.partitionBy(*rows)
     return df.withColumn(out, F.col(val) / F.sum(val).over(w))
