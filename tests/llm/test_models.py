@@ -102,6 +102,16 @@ def test_quality_held_out_on_documents(spark):
     assert np.mean([r.keep for r in rows if r.quality == 0]) < 0.3
 
 
+def test_quality_learns_from_every_trusted_document(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(kneser_ney, "train", lambda trusted, symbols: seen.update(n=trusted.count(), texts=trusted.distinct().count()))
+    n = 50_300
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang")
+    labels = spark.range(n).selectExpr("id as doc_id", "if(id % 1000 = 0, 0, 1) as quality")
+    kneser_ney.classify(docs, labels)
+    assert seen == {"n": n - 51, "texts": n - 51}
+
+
 # --- toxicity
 
 
