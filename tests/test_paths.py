@@ -5,6 +5,7 @@ import pytest
 from conftest import count_matrix_of, planted_docs
 from pyspark.sql import functions as F
 
+from countmix.config import Limits
 from countmix.functions.special import digamma
 from countmix.operators import fit as fitmod
 from countmix.operators import init, matrix, report, topics
@@ -170,3 +171,38 @@ def test_scores_in_small_runs_are_the_same(spark, monkeypatch):
     want = scores()
     monkeypatch.setattr(fitmod, "LIMITS", Limits(score_cells=10))
     assert scores() == want
+
+
+def test_joined_lda_removes_its_iterations(spark, monkeypatch):
+    import glob
+
+    from countmix.session import ensure_checkpoint_dir
+    monkeypatch.setattr(topics, "LIMITS", Limits(max_broadcast_bytes=64))
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    kept = lambda: sum(bool(glob.glob(f"{d}/**/*.parquet", recursive=True) or glob.glob(f"{d}/part-*")) for d in glob.glob(f"{folder}/*"))
+    rows = spark.createDataFrame([(d, [d % 5, 5 + d % 3], [1.0 + d % 4, 2.0]) for d in range(40)], "doc_id long, terms array<int>, cnts array<double>")
+    before = kept()
+    res = topics.fit_lda(rows, 8, 2, nstart=1, em_max_iter=6, em_tol=0.0, n_partitions=2)
+    assert len(res.trace) == 6 and res.topics.df.count() > 0
+    assert kept() - before <= 3     # blocks, their terms and the fitted topics
+
+
+def test_topics_of_string_triplets_equal_those_of_ids(spark):
+    from countmix.operators import init, matrix
+    trip = spark.createDataFrame([(1, "aa", 2), (1, "bb", 1), (2, "bb", 3), (3, "cc", 1), (None, "cc", 9)], "doc_id long, term string, cnt long")
+    docs = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y"), (3, "x"), (4, "z"), (5, None)], "doc_id long, g string")
+    vocab, V = matrix.vocabulary(trip.select("term"), with_count=True)
+    ids = matrix.index_terms(trip, vocab, V)
+    assert ids.columns == ["doc_id", "term_id", "cnt"]
+    for s in (0.0, 0.5):
+        a, b = (sorted(map(tuple, init.beta_from_groups(t, docs, "g", vocab, V, s).df.collect())) for t in (trip, ids))
+        assert a == b
+    want = {(k + 1, t): (c + 0.5) / (sum(row) + 1.5) for k, row in enumerate([[2, 1, 1], [0, 6, 0], [0, 0, 0]]) for t, c in enumerate(row)}
+    got = {(r.topic, r.term_id): r.p for r in init.beta_from_groups(trip, docs, "g", vocab, V, 0.5).df.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_default_driver_state_fits_a_small_driver():
+    # collected, unpacked, pickled: about five copies beside the JVM of a driver of 1.5 GB
+    assert 5 * Limits().max_broadcast_bytes <= 256 * 1024 * 1024
+    assert 40 * Limits().max_driver_cells <= 256 * 1024 * 1024
