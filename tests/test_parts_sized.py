@@ -34,3 +34,22 @@ def test_rows_and_weights_keep_their_parts(spark, docs):
     w = starts.tfidf(cm.dtm, cm.N, cm.V, 50)
     assert len(sizes(w)) == 50
     assert sorted(map(tuple, w.collect())) == sorted(map(tuple, starts.tfidf(cm.dtm, cm.N, cm.V).collect()))
+
+
+def test_iterations_leave_the_triplets_in_place(spark, docs):
+    cm = matrix.build_count_matrix(docs, text.document_term_matrix(text.tokens(docs)))
+    kept = starts._by_term(cm.dtm, cm.tasks())
+    kept.count()
+    resp = docs.select("doc_id", F.array(F.lit(0.5), F.lit(0.5)).alias("r"))
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # means by term: documents are sent to the tasks, nothing is shuffled
+        means = starts.cluster_means(kept.withColumnRenamed("cnt", "w"), docs.select("doc_id", F.lit(1).alias("cluster")).localCheckpoint(), 2, cm.N)
+        above = means._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+        assert "Exchange hashpartitioning" not in above
+        theta, _ = starts.mixture_m_step(kept, resp, 2, cm.N, cm.V, 0.5)
+        assert theta.count() == cm.V
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        kept.unpersist()
