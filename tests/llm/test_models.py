@@ -218,6 +218,60 @@ def test_pitman_yor_chunks(spark):
     assert len(alone) == 61 and all(r.score < 0 for r in alone)
 
 
+def test_pitman_yor_contexts_are_the_words_before(spark, monkeypatch):
+    """Every pair of words occurs once, so each has one table and the scores follow from
+    the counts; words are dealt into many parts."""
+    monkeypatch.setattr(hpylm, "PART_BYTES", 400)
+    rnd = random.Random(8)
+    vocab = [a + b for a in "bdfgklmnprst" for b in ("alo", "ino", "ta", "ino.")]
+    used, texts = set(), []
+    for i in range(40):
+        words = []
+        for _ in range(30):
+            w = rnd.choice(vocab)
+            pair = (words[-1] if words else "", w)
+            if pair not in used and (w, "") not in used:
+                words.append(w)
+                used.add(pair)
+        if words:
+            used.add((words[-1], ""))
+            texts.append(" ".join(words))
+    train = [(i, t) for i, t in enumerate(texts)]
+    other = [(100 + i, " ".join(rnd.choice([*vocab, "zz"]) for _ in range(rnd.randrange(12)))) for i in range(30)]
+    docs = spark.createDataFrame(train + other, "doc_id long, text string")
+    pairs = Counter((u, w) for _, t in train for u, w in zip([""] + t.split(), t.split() + [""]))
+    assert set(pairs.values()) == {1} and len({u[-2:] for u in vocab}) == 4
+    tables, customers = Counter(w for _, w in pairs), Counter(u for u, _ in pairs)
+    few = Counter(tables.values())
+    d, d0 = 0.95, min(0.95, max(0.05, few[1] / (few[1] + 2 * few[2]))) if few[1] else 0.5
+
+    def prob(u, w):
+        root = (tables[w] - d0 if w in tables else 1 + d0 * len(tables)) / (1 + len(pairs))
+        return ((u, w) in pairs) * (1 - d) / (1 + customers[u]) + (1 + d * customers[u]) / (1 + customers[u]) * root
+
+    got = {r.doc_id: r.score for r in hpylm.score(docs, F.col("doc_id") >= 100, chunk_tokens=50).collect()}
+    for i, t in train + other:
+        want = sum(np.log10(prob(u, w)) for u, w in zip([""] + t.split(), t.split() + [""]))
+        assert got[i] == pytest.approx(want, abs=1e-9)
+
+
+def test_pitman_yor_tables_of_contexts_meet(spark, monkeypatch):
+    """In each sample the tables summed by context, those summed by word and their number
+    agree, whatever parts hold them."""
+    monkeypatch.setattr(hpylm, "PART_BYTES", 1000)
+    rnd, seen, texts = random.Random(9), {}, hpylm.texts
+    monkeypatch.setattr(hpylm, "texts", lambda *a: texts(*a).coalesce(1))  # one chunk asks for every word
+    docs = spark.createDataFrame([(i, prose(rnd, rnd.randrange(40), ["th", "er", "on"])) for i in range(80)], "doc_id long, text string")
+    monkeypatch.setattr(hpylm, "scored", lambda codes, answers, first, prior, totals: seen.update(rows=answers.collect(), first=first, totals=totals))
+    hpylm.score(docs, F.lit(False))
+    parts = [hpylm.opened(r.answer) for r in seen["rows"]]
+    assert len(parts) > 3 and len(seen["totals"]) == 3 and min(seen["totals"]) > seen["first"].total
+    for of in (6, 7):
+        assert sum(p[of].reshape(-1, 3).sum(axis=0).astype(int) for p in parts).tolist() == seen["totals"]
+    assert sum(p[4].sum() for p in parts) == sum(p[1].sum() for p in parts) == seen["first"].customers.sum()
+    assert all((p[4] * 3 >= p[5]).all() and (p[5] >= 3).all() for p in parts)
+
+
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     pairs = rng.integers(1, 6, 50)
