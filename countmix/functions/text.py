@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # The normalisation order of the corpus preparation step:
 # lower-case, strip digits, strip punctuation, collapse whitespace.
-DIGITS = r"\p{N}+"
-PUNCTUATION = r"[\p{P}\p{S}]+"
+# What is stripped goes in one pass over the text.
+DROPPED = r"[\p{N}\p{P}\p{S}]+"
 WHITESPACE = r"[\t\n\x0B\f\r ]+"
 # Shortest term kept by the document-term matrix builder (word lengths 3..inf).
 MIN_TERM_LENGTH = 3
@@ -18,8 +18,7 @@ def normalise_text(col: Column | str) -> Column:
     """lower -> drop digits -> drop punctuation/symbols -> single spaces, trimmed."""
     c = F.col(col) if isinstance(col, str) else col
     c = F.lower(c)
-    c = F.regexp_replace(c, DIGITS, "")
-    c = F.regexp_replace(c, PUNCTUATION, "")
+    c = F.regexp_replace(c, DROPPED, "")
     c = F.regexp_replace(c, WHITESPACE, " ")
     return F.trim(c)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform
 from ._util import bounded_broadcast, saved
-from .matrix import CountMatrix, dense_index, index_terms, row_normalise
+from .matrix import CountMatrix, dense_index, index_terms, meta_documents, row_normalise, vocabulary
 
 # ----------------------------------------------------------- validation ---
 
@@ -172,22 +172,31 @@ def assign_from_labels(df: DataFrame, label_col: str, id_col: str = "doc_id") ->
 
 
 def beta_from_groups(dtm: DataFrame, groups: DataFrame, group_col: str,
-                     vocab: DataFrame, V: int | None = None, smoothing: float = 0.0):
+                     vocab: DataFrame | None = None, V: int | None = None, smoothing: float = 0.0):
     """Topics from labelled rows.  Rows with the same label are summed and
     each label's counts are normalised; topics are the labels ranked 1..K in
     ascending order.  With ``smoothing > 0`` every vocabulary term gets
     ``(cnt + s) / (total + s V)`` so no probability is 0.  Triplets may hold term
     strings: these are grouped first, and only the groups' rows get their ids.
-    Returns Topics."""
+    Without ``vocab`` it is that of all triplets, read off the saved sums, so the
+    triplets are worked out once.  Returns Topics (and the vocabulary, if not given)."""
+    ranked, K = _ranked(groups.select("doc_id", group_col), group_col)
+    a = ranked.select("doc_id", F.col("label").alias("cluster"))
+    counts = meta_documents(dtm, a, every_term=vocab is None).withColumnRenamed("cluster", "topic")
+    if vocab is None:
+        counts = saved(counts, "sums")
+        vocab, V = vocabulary(counts.select("term"), with_count=True)
+        counts = counts.where("topic is not null")
+        return _topics_of(counts, K, vocab, V, smoothing), vocab
+    return _topics_of(counts, K, vocab, vocab.count() if V is None else V, smoothing)
+
+
+def _topics_of(counts: DataFrame, K: int, vocab: DataFrame, V: int, smoothing: float):
+    """Topics of the sums ``(topic, term or term_id, cnt)``."""
     from .topics import Topics
 
-    V = vocab.count() if V is None else V
-    ranked, K = _ranked(groups.select("doc_id", group_col), group_col)
-    a = ranked.select("doc_id", F.col("label").alias("topic"))
-    term = "term_id" if "term_id" in dtm.columns else "term"
-    counts = (dtm.join(a, "doc_id").groupBy("topic", term)
-              .agg(F.sum("cnt").cast("double").alias("cnt")))
-    if term == "term":
+    counts = counts.withColumn("cnt", F.col("cnt").cast("double"))
+    if "term" in counts.columns:
         counts = index_terms(counts, vocab, V)
     if smoothing <= 0:
         counts = saved(counts, "counts")    # read for the totals and for the shares

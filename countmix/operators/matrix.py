@@ -146,14 +146,17 @@ def cluster_sizes(assign: DataFrame, n_docs: int | None = None,
     return sizes.withColumn("pi", F.col("n") / F.sum("n").over(w))
 
 
-def meta_documents(dtm: DataFrame, assign: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def meta_documents(dtm: DataFrame, assign: DataFrame, keys: tuple[str, ...] = (),
+                   every_term: bool = False) -> DataFrame:
     """Sum the documents of each cluster: ``(*keys, cluster, term_id, cnt)``
-    (``term`` for ``term_id`` if the triplets hold strings).
+    (``term`` for ``term_id`` if the triplets hold strings).  With ``every_term``
+    documents without a cluster are summed too (``cluster`` null), so that no term
+    of the triplets is missing.
 
     ``dtm JOIN assign`` on doc_id then a partially aggregated ``groupBy``;
     the shuffle carries at most (clusters x terms) rows per map task.
     """
-    j = dtm.join(assign, "doc_id")
+    j = dtm.join(assign, "doc_id", "left" if every_term else "inner")
     return (j.groupBy(*keys, "cluster", "term_id" if "term_id" in dtm.columns else "term")
             .agg(F.sum("cnt").alias("cnt")))
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import gmm, init, matrix, report, starts, stream_lda, text, topics
 from ..operators import fit as fitmod
+from ..operators._util import saved
 from ..operators.fit import Controls
 from ..operators.select import select_model
 from ..sources import read_table
@@ -52,30 +53,26 @@ def _term_dtm(spark, sf):
     return docs, text.document_term_matrix(_tokens(docs))
 
 
-def _named(spark, sf):
-    """docs, vocabulary over every term and its size, and triplets by term string."""
-    docs, tdtm = _term_dtm(spark, sf)
-    vocab, V = matrix.vocabulary(text.tokens(docs).select("term"), with_count=True)
-    return docs, vocab, V, tdtm
-
-
 def _indexed(spark, sf):
     """docs, vocabulary over every term, and indexed triplets."""
-    docs, vocab, V, tdtm = _named(spark, sf)
+    docs, tdtm = _term_dtm(spark, sf)
+    vocab, V = matrix.vocabulary(text.tokens(docs).select("term"), with_count=True)
     return docs, vocab, matrix.index_terms(tdtm, vocab, V)
 
 
 def _lang_topics(spark, sf):
     """Vocabulary and topics defined by the documents' language."""
-    docs, vocab, V, tdtm = _named(spark, sf)
-    return vocab, init.beta_from_groups(tdtm, docs, "lang", vocab, V)
+    docs, tdtm = _term_dtm(spark, sf)
+    beta, vocab = init.beta_from_groups(tdtm, docs, "lang")
+    return vocab, beta
 
 
 def _lang_meta(spark, sf):
-    """Meta-documents of the languages."""
-    docs, vocab, V, tdtm = _named(spark, sf)
-    meta = matrix.meta_documents(tdtm, init.assign_from_labels(docs, "lang"))
-    return matrix.index_terms(meta, vocab, V)
+    """Meta-documents of the languages; the vocabulary is read off the saved sums."""
+    docs, tdtm = _term_dtm(spark, sf)
+    meta = saved(matrix.meta_documents(tdtm, init.assign_from_labels(docs, "lang"), every_term=True), "sums")
+    vocab, V = matrix.vocabulary(meta.select("term"), with_count=True)
+    return matrix.index_terms(meta.where("cluster is not null"), vocab, V)
 
 
 def _pruned(spark, sf):

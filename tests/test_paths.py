@@ -202,6 +202,45 @@ def test_topics_of_string_triplets_equal_those_of_ids(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_sums_of_groups_give_the_vocabulary(spark):
+    """Without a vocabulary it is that of all triplets, also of rows without a label."""
+    from countmix.operators import init, matrix
+    trip = spark.createDataFrame([(1, "aa", 2), (1, "bb", 1), (2, "bb", 3), (3, "cc", 1), (5, "dd", 4), (None, "ee", 9)], "doc_id long, term string, cnt long")
+    docs = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y"), (2, None), (3, "x"), (4, "z"), (5, None), (None, "x")], "doc_id long, g string")
+    vocab, V = matrix.vocabulary(trip.select("term"), with_count=True)
+    for s in (0.0, 0.5):
+        t, own = init.beta_from_groups(trip, docs, "g", smoothing=s)
+        assert (t.K, t.V) == (3, 5) and sorted(map(tuple, own.collect())) == sorted(map(tuple, vocab.collect()))
+        assert sorted(map(tuple, t.df.collect())) == sorted(map(tuple, init.beta_from_groups(trip, docs, "g", vocab, V, s).df.collect()))
+    a = init.assign_from_labels(docs, "g")
+    meta = matrix.meta_documents(trip, a, every_term=True)
+    assert sorted(map(tuple, meta.where("cluster is not null").collect())) == sorted(map(tuple, matrix.meta_documents(trip, a).collect()))
+    assert sorted((r.term, r.cnt) for r in meta.where("cluster is null").collect()) == [("dd", 4), ("ee", 9)]
+
+
+def test_language_queries_split_texts_once(spark, tmp_path, monkeypatch):
+    from countmix.operators import text
+    from countmix.plans import catalog
+    rows = [(1, "one two two", "en", "s"), (2, "zwei drei", "de", "s"), (3, "nur hier", None, "t"), (None, "four", "en", "t"), (4, None, "fr", "t")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    calls, tokens = [], text.tokens
+    monkeypatch.setattr(text, "tokens", lambda *a, **k: calls.append(1) or tokens(*a, **k))
+    for name, n in (("topic_weights_by_lang", 4), ("top_terms_by_lang", 4), ("tidy_beta_lang", 4), ("meta_documents_lang", 4), ("cluster_word_counts_lang", 2)):
+        del calls[:]
+        assert catalog.QUERIES[name](spark, str(tmp_path)).count() == n
+        assert len(calls) == 1
+    # ids count the terms of documents without a language or an id
+    assert [tuple(r) for r in catalog.meta_documents_lang(spark, str(tmp_path)).orderBy("cluster", "term_id").collect()] == [(1, 0, 1), (1, 6, 1), (2, 4, 1), (2, 5, 2)]
+
+
+def test_normalising_strips_in_one_pass(spark):
+    from pyspark.sql import functions as F
+    from countmix.functions import normalise_text
+    got = spark.createDataFrame([(" A1-b\u2014\u00b2c\u2160 $d\t\n e+ ",), ("\U0001d7ce\U0001f600x.",), (None,)], "t string")
+    assert [r[0] for r in got.select(normalise_text("t")).collect()] == ["abc d e", "x", None]
+    assert str(normalise_text(F.col("t"))).count("regexp_replace") == 2
+
+
 def test_default_driver_state_fits_a_small_driver():
     # collected, unpacked, pickled: about five copies beside the JVM of a driver of 1.5 GB
     assert 5 * Limits().max_broadcast_bytes <= 256 * 1024 * 1024
