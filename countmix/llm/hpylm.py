@@ -102,6 +102,21 @@ def spans(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of ``keys`` in order and the place of each key's value, as
+    ``np.unique`` with its inverse, in half the memory."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    keys = keys[new]
+    rank = np.cumsum(new, dtype=np.int32)
+    rank -= 1
+    of = np.empty(len(new), dtype=np.int32)
+    of[order] = rank
+    return keys, of
+
+
 # --- coding, numbering and counting
 
 
@@ -177,14 +192,20 @@ def token_pairs(codes, ids: np.ndarray):
     """The tokens of rows of ``codes`` by the place of their word in ``ids``, the pairs
     they make with the token before (word, context) in order, each token's pair, and
     the sizes of the documents."""
+    place = np.empty(len(ids), dtype=np.int32)
+    place[ids] = np.arange(len(ids))
     read = [opened(x) for x in codes]
     sizes = np.concatenate([x[0] for x in read]).astype(np.int64)
-    place = np.empty(len(ids), dtype=np.int64)
-    place[ids] = np.arange(len(ids))
-    word = place[np.concatenate([x[1] for x in read])]
+    word = np.concatenate([place[x[1]] for x in read])
+    del read
+    key = word.astype(np.int64)
+    key *= len(ids)
     # the token before the first of a document is the end of another
-    pair, of = np.unique(word * len(ids) + np.append(place[0], word[:-1]), return_inverse=True)
-    return word, pair // len(ids), pair % len(ids), of, sizes
+    key[1:] += word[:-1]
+    key[:1] += place[0]
+    pair, of = distinct(key)
+    del key
+    return word, (pair // len(ids)).astype(np.int32), (pair % len(ids)).astype(np.int32), of, sizes
 
 
 def counted(docs: DataFrame, numbers: DataFrame, parts: int) -> DataFrame:
@@ -256,14 +277,16 @@ def by_home(context: np.ndarray, parts: int) -> np.ndarray:
 def merged(asked: DataFrame, parts: int) -> DataFrame:
     """The pairs of each part that the training text holds, and where a chunk's are."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        got = [[x.astype(np.int64) for x in opened(b)] for b in rows["asked"]]
+        got = [opened(b) for b in rows["asked"]]
         # contexts in the order in which chunks hold them: by part, then number
-        names, place = np.unique(by_home(np.concatenate([g[3] for g in got]), parts), return_inverse=True)
+        names, place = distinct(by_home(np.concatenate([g[3] for g in got]).astype(np.int64), parts))
         places = np.split(place, np.cumsum([len(g[3]) for g in got])[:-1])
-        keys = [np.repeat(number, pairs) * len(names) + at for (_, number, pairs, *_), at in zip(got, places)]
+        keys = [np.repeat(number.astype(np.int64), pairs) * len(names) + at for (_, number, pairs, *_), at in zip(got, places)]
+        del place, places
         learned = [g[4] > 0 for g in got]
-        key, of = np.unique(np.concatenate([k[x] for k, x in zip(keys, learned)]), return_inverse=True)
+        key, of = distinct(np.concatenate([k[x] for k, x in zip(keys, learned)]))
         count = np.bincount(of, np.concatenate([g[4][x] for g, x in zip(got, learned)]), minlength=len(key)).astype(np.int64)
+        del of
         part, out = rows["part"].iloc[0], []
         for chunk, k, (ids, number, pairs, _, _) in zip(rows["chunk"], keys, got):
             at = np.searchsorted(key, k)
@@ -542,12 +565,18 @@ def scored(docs: DataFrame, answers: DataFrame, first: Sums, prior: Prior, all_t
             root[known] = (roots.reshape(-1, samples) - prior.root_discount) / every
             back = np.ones((len(c), samples))
             back[known] = (prior.strength + prior.discount * contexts.reshape(-1, samples)) / (prior.strength + c[known, None])
-            p = sum(root[w, s] * back[u, s] for s in range(samples)) / samples
+            p[:] = 0.0
+            for s in range(samples):
+                x = root[w, s]
+                x *= back[u, s]
+                p += x
+            p /= samples
+            del x, w
             hit = hit > 0
             p[hit] += (count - prior.discount * tables / samples) / (prior.strength + c[u[hit]])
         starts = np.cumsum(sizes) - sizes
         base, logp = np.log10((c + 0.5) / scale), np.log10(p)
-        out = pd.DataFrame({"doc_id": [x for some in d["doc_ids"] for x in some], "held_out": np.concatenate(d["held"].to_list()).astype(bool), "n_tokens": sizes, "n_known": np.add.reduceat(known[word].astype(np.int64), starts), "train_tokens": tokens, "base_score": np.add.reduceat(base[word], starts), "score": np.add.reduceat(logp[of], starts)})
+        out = pd.DataFrame({"doc_id": [x for some in d["doc_ids"] for x in some], "held_out": np.concatenate(d["held"].to_list()).astype(bool), "n_tokens": sizes, "n_known": np.add.reduceat(known[word], starts, dtype=np.int64), "train_tokens": tokens, "base_score": np.add.reduceat(base[word], starts), "score": np.add.reduceat(logp[of], starts)})
         if id_type in ("tinyint", "smallint", "int", "bigint"):
             out["doc_id"] = out["doc_id"].astype("Int64")
         return out

@@ -272,6 +272,26 @@ def test_pitman_yor_tables_of_contexts_meet(spark, monkeypatch):
     assert all((p[4] * 3 >= p[5]).all() and (p[5] >= 3).all() for p in parts)
 
 
+def test_pairs_are_found_in_bounded_memory():
+    """The tokens of a chunk take at most 40 bytes each while their pairs are found."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    sizes, ids = np.array([100_000, 1, 299_999]), rng.permutation(70_000)
+    codes = np.minimum(rng.zipf(1.3, 400_000), 69_999)
+    blob = [hpylm.shut(sizes[:2], codes[:100_001]), hpylm.shut(sizes[2:], codes[100_001:])]
+    tracemalloc.start()
+    word, w, u, of, got = hpylm.token_pairs(blob, ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(codes)
+    before = np.append(0, codes[:-1])
+    assert (ids[word] == codes).all() and (ids[w[of]] == codes).all() and (ids[u[of]] == before).all()
+    assert got.tolist() == sizes.tolist() and (np.diff(w.astype(np.int64) * len(ids) + u) > 0).all()
+    values, at = hpylm.distinct(np.zeros(0, np.int64))
+    assert len(values) == len(at) == 0
+
+
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     pairs = rng.integers(1, 6, 50)
