@@ -112,6 +112,52 @@ def test_quality_learns_from_every_trusted_document(spark, monkeypatch):
     assert seen == {"n": n - 51, "texts": n - 51}
 
 
+def script_tables(spark):
+    rnd = random.Random(5)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"] + [(a + b).upper() for a in "cdhjqvwxyz" for b in "aeiou"]
+    words = ["".join(chr(rnd.choice([0x4E00, 0x20000]) + rnd.randrange(200)) for _ in range(3)) for _ in range(120)]
+    rows = [(i, prose(rnd, 40, syllables), "en") for i in range(400)]
+    for i in range(1000, 1300):
+        t = " ".join(rnd.choice(words) for _ in range(40))
+        rows.append((i, t, "zh"))
+        if i >= 1150:  # the same letters in another order
+            letters = "".join(rnd.sample(t.replace(" ", ""), 120))
+            rows.append((i + 1000, " ".join(letters[k:k + 3] for k in range(0, 120, 3)), "zh"))
+    labels = [(i, 1) for i, _, _ in rows if i < 1150]
+    rows += [rows[0], rows[500], (None, rows[1][1], "en"), (3000, "\u0416" * 50, "zh")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+
+
+def test_quality_knows_every_character(spark):
+    docs, labels = script_tables(spark)
+    got = kneser_ney.classify(docs, labels, least=20).collect()
+    assert len(got) == docs.count()
+    assert np.mean([r.keep for r in got if r.doc_id is not None and (r.doc_id < 400 or 1150 <= r.doc_id < 1300)]) > 0.9
+    assert np.mean([r.keep for r in got if r.doc_id is not None and r.doc_id >= 2150]) < 0.05
+
+
+def test_quality_in_pieces(spark, monkeypatch):
+    docs, labels = script_tables(spark)
+    rows = lambda: sorted(((r.doc_id or -1, r.mark, r.n_events, r.keep), r.perplexity, r.level, r.threshold) for r in kneser_ney.classify(docs, labels, least=20).collect())
+    whole = rows()
+    monkeypatch.setattr(kneser_ney, "PIECE", 2000)
+    some = rows()
+    assert [r[0] for r in some] == [r[0] for r in whole]
+    assert np.allclose([r[1:] for r in some], [r[1:] for r in whole], rtol=1e-5)
+
+
+def test_quality_finds_by_table_and_search(monkeypatch):
+    rnd = random.Random(6)
+    chars = [chr(0x1F600 + i) for i in range(12)]
+    lut = kneser_ney.symbol_table(chars)
+    context, last, _ = kneser_ney.windows(["".join(rnd.choice(chars) for _ in range(rnd.randrange(60))) for _ in range(40)], lut, 14)
+    assert set(last.tolist()) == set(range(14)) - {1}
+    of = [context * 14 + last, np.ones(len(last), dtype=np.int64)]
+    p = kneser_ney.probabilities(*of, 14)
+    monkeypatch.setattr(kneser_ney, "CELLS", 0)
+    assert np.array_equal(kneser_ney.probabilities(*of, 14), p)
+
+
 # --- toxicity
 
 
