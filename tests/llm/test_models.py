@@ -136,6 +136,13 @@ def test_quality_knows_every_character(spark):
     assert np.mean([r.keep for r in got if r.doc_id is not None and r.doc_id >= 2150]) < 0.05
 
 
+def test_quality_stage_keeps_words_of_every_script(spark):
+    docs, labels = script_tables(spark)
+    kept = {r.doc_id for r in kneser_ney.keep_good(docs, labels, least=20).collect()}
+    assert len(kept & set(range(1150, 1300))) > 135
+    assert len(kept & set(range(2150, 2300))) < 8
+
+
 def test_quality_in_pieces(spark, monkeypatch):
     docs, labels = script_tables(spark)
     rows = lambda: sorted(((r.doc_id or -1, r.mark, r.n_events, r.keep), r.perplexity, r.level, r.threshold) for r in kneser_ney.classify(docs, labels, least=20).collect())
