@@ -53,3 +53,17 @@ def test_iterations_leave_the_triplets_in_place(spark, docs):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
         kept.unpersist()
+
+
+def test_lda_blocks_fall_on_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from countmix.operators import topics
+    rows = spark.range(200, numPartitions=1).select(F.col("id").alias("doc_id"), F.array(F.lit(0), F.lit(1)).alias("terms"), F.array(F.lit(1.0), F.lit(2.0)).alias("cnts"))
+    blocks, terms, n = topics._blocks(rows, 1)
+    cores = spark.sparkContext.defaultParallelism
+    assert n >= 3 * cores and blocks.select("block").distinct().count() >= 3 * cores
+    assert blocks.select(F.sum(F.size("terms"))).first()[0] == 400
+    mine = terms.withColumn("b", F.array(F.lit(0.5)))
+    solved = topics._met(blocks, mine.toDF(*mine.columns), n).applyInPandas(lambda d, b: d[["block"]].head(1), "block int")
+    assert solved.rdd.getNumPartitions() == n and solved.count() == blocks.select("block").distinct().count()
